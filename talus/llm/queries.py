@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from talus.llm import mixing
+from talus.llm import language_id, mixing, quality
 
-QUERIES = {"op9_mixing": mixing.op9_mixing}
+QUERIES = {
+    "op6_quality": quality.op6_quality,
+    "op9_mixing": mixing.op9_mixing,
+    "op10_language_id": language_id.op10_language_id,
+}
 SQL = {"op9_mixing": mixing.SQL}
