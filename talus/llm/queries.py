@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from talus.llm import language_id, mixing, quality
+from talus.llm import language_id, mixing, quality, toxicity
 
 QUERIES = {
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality": quality.op6_quality,
     "op9_mixing": mixing.op9_mixing,
     "op10_language_id": language_id.op10_language_id,
