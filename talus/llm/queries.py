@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from talus.llm import language_id, mixing, quality, toxicity
+from talus.llm import jaccard_join, language_id, mixing, quality, toxicity
 
 QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality": quality.op6_quality,
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op9_mixing": mixing.op9_mixing,
     "op10_language_id": language_id.op10_language_id,
 }
