@@ -123,7 +123,7 @@ def next_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             part = batch.iloc[lo : lo + 2000]
             row, at, name = sampled(part["node"].to_numpy(np.int64))
             nodes = child(name, stack(part["minima"])[row, at])
-            yield pd.DataFrame({"node": nodes, "key": part["key"].to_numpy()[row]})
+            yield pd.DataFrame({"node": nodes, "key": part["key"].to_numpy()[row], "minima": part["minima"].to_numpy()[row]})
 
 
 def in_groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
@@ -183,7 +183,8 @@ def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(out_a) > 20_000:
             yield pd.DataFrame({"a": out_a, "b": out_b})
             out_a, out_b = [], []
-    yield pd.DataFrame({"a": out_a, "b": out_b})
+    if out_a:
+        yield pd.DataFrame({"a": out_a, "b": out_b})
 
 
 def intersections(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
@@ -267,28 +268,31 @@ def classes(docs: DataFrame, keep=()) -> DataFrame:
     sets = materialize(sets, "sets")
 
     edges, nodes = None, sets.select("key", "minima").mapInPandas(first_level, "node long, key binary")
-    values = sets.select("key", "minima")
     for level in range(1, LEVELS + 1):
         nodes = materialize(nodes, "nodes")
         sizes = materialize(nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
         last = level == LEVELS
+
+        def of(some: DataFrame) -> DataFrame:
+            """The rows of these nodes, with minima (few are left after the first level, and carry them along)."""
+            rows = nodes.join(some.select("node"), "node", "left_semi")
+            return rows if "minima" in nodes.columns else rows.join(sets.select("key", "minima"), "key")
+
+        # a node's rows go to blocks of bounded size
         small = sizes if last else sizes.where(F.col("n") <= SPLIT)
-        # the sets of nodes to compare come with their minima; a node's rows go to blocks of bounded size
-        rows = nodes.join(small.select("node"), "node", "left_semi").join(values, "key")
-        found = block_pairs(rows, "node", small, compare, "a binary, b binary").distinct()
-        edges = found if edges is None else edges.unionByName(found)
+        found = block_pairs(of(small), "node", small, compare, "a binary, b binary").distinct()
+        edges = materialize(found if edges is None else edges.unionByName(found), "found")
         large = sizes.where(F.col("n") > SPLIT)
         if last or large.isEmpty():
             break
-        edges = materialize(edges, "found")
-        rows = nodes.join(large.select("node"), "node", "left_semi").join(values, "key")
-        nodes = rows.select("node", "minima", "key").mapInPandas(next_level, "node long, key binary")
+        nodes = of(large).select("node", "minima", "key").mapInPandas(next_level, "node long, key binary, minima binary")
 
     groups = materialize(components(edges).withColumnRenamed("node", "key"), "groups")
     sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
     grouped = groups.join(sets.select("key", "weight", "_rid"), "key")
     shingles = described.select("_rid", "shingles")
-    rows = grouped.join(shingles, "_rid").drop("_rid")
+    # the groups grow with the corpus: join by sorting at every size, never by broadcast
+    rows = grouped.hint("merge").join(shingles, "_rid").drop("_rid")
     linked = materialize(block_pairs(rows, "root", sizes, exact, "key binary, links long, near binary"), "linked")
     joined = components(linked.select(F.col("key").alias("a"), F.col("near").alias("b"))).withColumnRenamed("node", "key")
     links = linked.groupBy("key").agg(F.sum("links").alias("links"))
