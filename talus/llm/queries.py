@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from talus.llm import jaccard_join, language_id, mixing, packing, quality, toxicity
+from talus.llm import jaccard_join, language_id, lm_scoring, mixing, packing, quality, toxicity
 
 QUERIES = {
+    "op1_lm_scoring": lm_scoring.op1_lm_scoring,
     "op4_packing": packing.op4_packing,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality": quality.op6_quality,
