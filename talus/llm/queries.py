@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from talus.llm import jaccard_join, language_id, lm_scoring, mixing, packing, quality, toxicity
+from talus.llm import jaccard_join, language_id, lm_scoring, mixing, packing, quality, toxicity, warc
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
+    "op2_warc": warc.op2_warc,
     "op4_packing": packing.op4_packing,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality": quality.op6_quality,
@@ -13,4 +14,4 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_language_id": language_id.op10_language_id,
 }
-SQL = {"op9_mixing": mixing.SQL}
+SQL = {"op2_warc": warc.SQL, "op9_mixing": mixing.SQL}
