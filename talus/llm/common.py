@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word of the contracts: a run without space, tab, line feed, vertical tab, form feed or carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -51,3 +54,31 @@ def running_sum(df: DataFrame, order: list, value: str, out: str) -> DataFrame:
         .withColumn(out, F.col("_before") + F.sum(value).over(within))
         .drop("_part", "_before")
     )
+
+
+def map_texts(docs: DataFrame, keep: Sequence[str], describe: Callable, fields: dict[str, tuple[T.DataType, pa.DataType]]) -> DataFrame:
+    """The ``keep`` columns as they are, and ``fields`` from ``describe(texts)``, which gives a list for each of them.
+
+    Columns pass through as Arrow arrays, so nulls and large numbers stay exact.
+    """
+    keep = list(dict.fromkeys(keep))
+    rows = docs.select(*dict.fromkeys([*keep, "text"]))
+    schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField(c, kind[0]) for c, kind in fields.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = describe(batch.column("text").to_pylist()) if batch.num_rows else [[]] * len(fields)
+            made = [pa.array(x, kind[1]) for x, kind in zip(found, fields.values())]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keep), *made], [*keep, *fields])
+
+    return rows.mapInArrow(run, schema)
+
+
+def filter_texts(docs: DataFrame, keeps: Callable[[list[str | None]], list[bool]]) -> DataFrame:
+    """The rows of ``docs`` whose text ``keeps`` accepts, all columns as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keeps(batch.column("text").to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

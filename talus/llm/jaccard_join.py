@@ -23,11 +23,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from talus.llm.common import materialize, partitions
+from talus.llm.common import map_texts, materialize, partitions
 from talus.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -80,14 +82,15 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return (least >> _U(32)).astype(np.uint32)
 
 
-def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def describe(texts: list[str | None]) -> tuple[list, list, list]:
+    """Key, minima and 32-bit shingles of each text, null for texts without words."""
     memo: dict[bytes, int] = {}
-    for batch in batches:
-        sets = [shingle_set(x, memo) for x in batch.pop("text")]
-        batch["key"] = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
-        batch["minima"] = [minima(x).tobytes() if len(x) else None for x in sets]
-        batch["shingles"] = [np.unique(x.astype(np.uint32)).tobytes() if len(x) else None for x in sets]
-        yield batch
+    sets = [shingle_set(x, memo) for x in texts]
+    return (
+        [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets],
+        [minima(x).tobytes() if len(x) else None for x in sets],
+        [np.unique(x.astype(np.uint32)).tobytes() if len(x) else None for x in sets],
+    )
 
 
 def sampled(node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -257,9 +260,8 @@ def classes(docs: DataFrame, keep=()) -> DataFrame:
     ``keep``).
     """
     id_kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", *keep)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    described = rows.mapInPandas(describe, f"{kinds}, key binary, minima binary, shingles binary")
+    blob = (T.BinaryType(), pa.binary())
+    described = map_texts(docs, ["doc_id", *keep], describe, {"key": blob, "minima": blob, "shingles": blob})
     described = materialize(described.withColumn("_rid", F.monotonically_increasing_id()), "described")
     members = described.select("doc_id", "key", *keep)
     own = F.struct("doc_id", *keep)

@@ -20,8 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from talus.llm.common import map_texts
 
 BUCKETS = 1 << 15
 SLICE = 1 << 20
@@ -127,18 +131,8 @@ def train(docs: DataFrame) -> Model:
 def predict(docs: DataFrame, model: Model, keep=("doc_id",)) -> DataFrame:
     """``keep`` columns with lang_pred, score, ambiguous."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS times bits floats
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decode = shared.value.decode
-        for batch in batches:
-            got = [decode(x) for x in batch.pop("text")]
-            yield batch.assign(
-                lang_pred=[x[0] for x in got], score=[x[1] for x in got], ambiguous=[x[2] for x in got]
-            )
-
-    rows = docs.select(*keep, "text")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInPandas(run, f"{kinds}, lang_pred string, score double, ambiguous boolean")
+    fields = {"lang_pred": (T.StringType(), pa.string()), "score": (T.DoubleType(), pa.float64()), "ambiguous": (T.BooleanType(), pa.bool_())}
+    return map_texts(docs, keep, lambda texts: zip(*map(shared.value.decode, texts)), fields)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,8 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from talus.llm.common import filter_texts, map_texts
 
 SAMPLE = 1500
 MIN_SHARE = 0.5
@@ -217,28 +221,26 @@ def label_lines(text: str | None, field: Field | None) -> tuple[float, list[int]
     return float(sizes[labels == 0].sum() / sizes.sum()), labels.tolist()
 
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def verdict(text: str | None, field: Field | None) -> tuple:
+    """The base counts, base_failed, content_share, n_content_lines and kept."""
+    base, (share, labels) = base_rules(text), label_lines(text, field)
+    return (*base, share, labels.count(0), not base[-1] and share >= MIN_SHARE)
+
+
 def judge(docs: DataFrame, field: Field | None, keep=("doc_id",)) -> DataFrame:
     """``keep`` columns with the base counts, base_failed, content_share, n_content_lines and kept."""
+    whole, flag = (T.LongType(), pa.int64()), (T.BooleanType(), pa.bool_())
+    fields = {c: whole for c in COUNTS}
+    fields |= {"base_failed": flag, "content_share": (T.DoubleType(), pa.float64()), "n_content_lines": whole, "kept": flag}
+    return map_texts(docs, keep, lambda texts: zip(*(verdict(x, field) for x in texts)), fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch["text"] if "text" in keep else batch.pop("text")
-            base = [base_rules(x) for x in texts]
-            lines = [label_lines(x, field) for x in texts]
-            for k, name in enumerate(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")):
-                batch[name] = [x[k] for x in base]
-            batch["content_share"] = [x[0] for x in lines]
-            batch["n_content_lines"] = [x[1].count(0) for x in lines]
-            batch["kept"] = [not b[5] and s[0] >= MIN_SHARE for b, s in zip(base, lines)]
-            yield batch
-
-    rows = docs.select(*dict.fromkeys([*keep, "text"]))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
-    return rows.mapInPandas(
-        run,
-        f"{kinds}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-        "base_failed boolean, content_share double, n_content_lines long, kept boolean",
-    )
+
+def kept_documents(docs: DataFrame, field: Field | None) -> DataFrame:
+    """The documents that stay, in their own columns."""
+    return filter_texts(docs, lambda texts: [verdict(x, field)[-1] for x in texts])
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
