@@ -82,15 +82,21 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return (least >> _U(32)).astype(np.uint32)
 
 
-def describe(texts: list[str | None]) -> tuple[list, list, list]:
-    """Key, minima and 32-bit shingles of each text, null for texts without words."""
+def describe(texts: list[str | None]) -> tuple[list, ...]:
+    """Key, first nodes, low bytes of the minima and 32-bit shingles of each text; null for texts without words."""
     memo: dict[bytes, int] = {}
-    sets = [shingle_set(x, memo) for x in texts]
-    return (
-        [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets],
-        [minima(x).tobytes() if len(x) else None for x in sets],
-        [np.unique(x.astype(np.uint32)).tobytes() if len(x) else None for x in sets],
-    )
+    _, at, name = sampled(mix(np.arange(1, runs() + 1, dtype=_U) * _U(0xA24BAED4963EE407)))  # the runs' roots hold all sets
+    out: tuple[list, ...] = ([], [], [], [])
+    for text in texts:
+        shingles = shingle_set(text, memo)
+        found: tuple = (None,) * 4
+        if len(shingles):
+            least = minima(shingles)
+            nodes, short = child(name, least[at]), np.unique(shingles.astype(np.uint32))
+            found = (xxhash.xxh3_128_digest(shingles.tobytes()), nodes.tobytes(), least.astype(np.uint8).tobytes(), short.tobytes())
+        for column, x in zip(out, found):
+            column.append(x)
+    return out
 
 
 def sampled(node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,21 +112,18 @@ def child(name: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 
 def stack(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint32).reshape(-1, WIDTH)
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, WIDTH)
 
 
 def first_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Children of the runs' roots, which hold all sets."""
-    _, at, name = sampled(mix(np.arange(1, runs() + 1, dtype=_U) * _U(0xA24BAED4963EE407)))
     for batch in batches:
-        for lo in range(0, len(batch), 2000):
-            part = batch.iloc[lo : lo + 2000]
-            nodes = child(name[None, :], stack(part["minima"])[:, at])
-            yield pd.DataFrame({"node": nodes.ravel(), "key": np.repeat(part["key"].to_numpy(), len(at))})
+        if len(batch):
+            nodes = np.frombuffer(b"".join(batch["nodes"]), np.int64)
+            yield pd.DataFrame({"node": nodes, "key": np.repeat(batch["key"].to_numpy(), len(nodes) // len(batch))})
 
 
 def next_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Children of large nodes."""
+    """Children of large nodes, named by the minima's low bytes (which only lets a few more sets meet)."""
     for batch in batches:
         for lo in range(0, len(batch), 2000):
             part = batch.iloc[lo : lo + 2000]
@@ -236,13 +239,13 @@ def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"key": keys, "links": links, "near": keys[root]})
 
 
-def block_pairs(rows: DataFrame, by: str, sizes: DataFrame, run: Callable, schema: str) -> DataFrame:
+def block_pairs(rows: DataFrame, by: str, run: Callable, schema: str) -> DataFrame:
     """Deal the rows of each group of ``by`` to blocks of about ``BLOCK`` sets and run every pair of blocks in one task.
 
-    ``sizes`` has a row (by, n) for each group; a group of up to ``BLOCK`` sets is one block.
+    ``n`` is the size of a row's group; a group of up to ``BLOCK`` sets is one block.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = rows.join(sizes, by).withColumn("_blocks", blocks)
+    dealt = rows.withColumn("_blocks", blocks)
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("key", F.lit(3)), F.col("_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     dealt = dealt.withColumn("_other", other)
@@ -261,45 +264,45 @@ def classes(docs: DataFrame, keep=()) -> DataFrame:
     """
     id_kind = docs.schema["doc_id"].dataType.simpleString()
     blob = (T.BinaryType(), pa.binary())
-    described = map_texts(docs, ["doc_id", *keep], describe, {"key": blob, "minima": blob, "shingles": blob})
+    described = map_texts(docs, ["doc_id", *keep], describe, {"key": blob, "nodes": blob, "minima": blob, "shingles": blob})
     described = materialize(described.withColumn("_rid", F.monotonically_increasing_id()), "described")
     members = described.select("doc_id", "key", *keep)
     own = F.struct("doc_id", *keep)
     sets = described.where("key IS NOT NULL").groupBy("key")
-    sets = sets.agg(F.count("*").alias("weight"), F.min("_rid").alias("_rid"), F.min(own).alias("_least"), F.first("minima").alias("minima"))
-    sets = materialize(sets, "sets")
+    sets = sets.agg(
+        F.count("*").alias("weight"), F.min("_rid").alias("_rid"), F.min(own).alias("_least"),
+        F.first(F.struct("nodes", "minima")).alias("_sketch"),
+    )
+    sets = materialize(sets.select("key", "weight", "_rid", "_least", "_sketch.*"), "sets")
 
-    edges, nodes = None, sets.select("key", "minima").mapInPandas(first_level, "node long, key binary")
+    edges, nodes = None, materialize(sets.select("key", "nodes").mapInPandas(first_level, "node long, key binary"), "nodes")
     for level in range(1, LEVELS + 1):
-        nodes = materialize(nodes, "nodes")
-        sizes = materialize(nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+        # the tables joined here grow with the corpus: by sorting at every size, never by broadcast
+        sizes = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+        rows = nodes.join(sizes.hint("merge"), "node")
+        if level == 1:
+            rows = rows.join(sets.select("key", "minima").hint("merge"), "key")
+        rows = materialize(rows, "met")
         last = level == LEVELS
-
-        def of(some: DataFrame) -> DataFrame:
-            """The rows of these nodes, with minima (few are left after the first level, and carry them along)."""
-            rows = nodes.join(some.select("node"), "node", "left_semi")
-            return rows if "minima" in nodes.columns else rows.join(sets.select("key", "minima"), "key")
-
-        # a node's rows go to blocks of bounded size
-        small = sizes if last else sizes.where(F.col("n") <= SPLIT)
-        found = block_pairs(of(small), "node", small, compare, "a binary, b binary").distinct()
+        small = rows if last else rows.where(F.col("n") <= SPLIT)
+        found = block_pairs(small, "node", compare, "a binary, b binary").distinct()
         edges = materialize(found if edges is None else edges.unionByName(found), "found")
-        large = sizes.where(F.col("n") > SPLIT)
+        large = rows.where(F.col("n") > SPLIT)
         if last or large.isEmpty():
             break
-        nodes = of(large).select("node", "minima", "key").mapInPandas(next_level, "node long, key binary, minima binary")
+        children = large.select("node", "minima", "key").mapInPandas(next_level, "node long, key binary, minima binary")
+        nodes = materialize(children, "nodes")
 
     groups = materialize(components(edges).withColumnRenamed("node", "key"), "groups")
     sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
     grouped = groups.join(sets.select("key", "weight", "_rid"), "key")
     shingles = described.select("_rid", "shingles")
-    # the groups grow with the corpus: join by sorting at every size, never by broadcast
-    rows = grouped.hint("merge").join(shingles, "_rid").drop("_rid")
-    linked = materialize(block_pairs(rows, "root", sizes, exact, "key binary, links long, near binary"), "linked")
+    rows = grouped.hint("merge").join(shingles, "_rid").drop("_rid").join(sizes, "root")
+    linked = materialize(block_pairs(rows, "root", exact, "key binary, links long, near binary"), "linked")
     joined = components(linked.select(F.col("key").alias("a"), F.col("near").alias("b"))).withColumnRenamed("node", "key")
     links = linked.groupBy("key").agg(F.sum("links").alias("links"))
 
-    sets = sets.drop("minima", "_rid").join(joined, "key", "left").join(links, "key", "left")
+    sets = sets.drop("nodes", "minima", "_rid").join(joined, "key", "left").join(links, "key", "left")
     sets = sets.withColumn("root", F.coalesce("root", "key"))
     sets = sets.withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("weight") - 1)
     sets = materialize(sets.drop("links"), "linked-sets")
