@@ -20,8 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talus.llm.common import materialize, running_sum
 from talus.llm.word_values import value_words
@@ -132,38 +134,80 @@ def tokenized(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFr
     a text's ids are its words' ids in order.
     """
 
-    def value(words: list[bytes], counts: list[int]) -> list[bytes]:
+    def value(words: list[bytes]) -> list[bytes]:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode = Tokenizer.from_file(tokenizer)
+        kind = id_kind(encode.get_vocab_size())
         out: list[bytes] = []
         for lo in range(0, len(words), 1000):
             some = [w.decode("utf-8") for w in words[lo : lo + 1000]]
-            out.extend(np.array(x.ids, "<u4").tobytes() for x in encode.encode_batch_fast(some, add_special_tokens=False))
+            out.extend(np.array(x.ids, kind).tobytes() for x in encode.encode_batch_fast(some, add_special_tokens=False))
         return out
 
-    def finish(rows: pd.DataFrame, values: dict[bytes, bytes]) -> pd.DataFrame:
-        out: list[tuple] = []
-        closing = CLOSING_ID.to_bytes(4, "little")
-        for doc_id, text in zip(rows["doc_id"], rows["text"]):
-            ids = b"".join(map(values.__getitem__, split(text))) + closing
-            for piece, at in enumerate(range(0, len(ids), 4 * LENGTH)):
-                part = ids[at : at + 4 * LENGTH]
-                out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), part)[: 5 + with_ids])
-        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
-        frame = pd.DataFrame(out, columns=names)
-        return frame.astype({"doc_id": rows["doc_id"].dtype}) if len(frame) else frame
+    marks: dict[bytes, bytes] = {}
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return value_words(docs.select("doc_id", "text"), split, value, finish, schema)
+    class Ids(dict):
+        """The ids of each word as it is written, made from those of its stem and of its closing mark."""
+
+        def __init__(self, values: dict[bytes, bytes]):
+            super().__init__()
+            self.values_of = values
+
+        def __missing__(self, word: bytes) -> bytes:
+            body, mark = stem(word)
+            found = self[word] = self.values_of[body] + (marks[mark] if mark else b"")
+            return found
+
+    def finish(rows: pa.Table, values: dict[bytes, bytes]) -> pa.Table:
+        from tokenizers import Tokenizer
+
+        encode = Tokenizer.from_file(tokenizer)
+        kind = id_kind(encode.get_vocab_size())
+        for mark in MARKS:
+            marks[mark] = np.array(encode.encode(mark.decode(), add_special_tokens=False).ids, kind).tobytes()
+        ids_of, closing = Ids(values), np.array([CLOSING_ID], kind).tobytes()
+        out: dict[str, list] = {c: [] for c in ("row", "piece", "start", "length", "ids_crc32", "ids")}
+        for row, text in enumerate(rows.column("text")):
+            ids = np.frombuffer(b"".join(map(ids_of.__getitem__, split(text.as_py()))) + closing, kind).astype("<u4")
+            for piece, at in enumerate(range(0, len(ids), LENGTH)):
+                part = ids[at : at + LENGTH].tobytes()
+                for name, x in zip(out, (row, piece, at, len(part) // 4, zlib.crc32(part), part if with_ids else None)):
+                    out[name].append(x)
+        columns = {"doc_id": rows.column("doc_id").take(pa.array(out["row"], pa.int64())), "piece": pa.array(out["piece"], pa.int32())}
+        columns |= {c: pa.array(out[c], pa.int64()) for c in ("start", "length", "ids_crc32")}
+        return pa.table(columns | ({"ids": pa.array(out["ids"], pa.binary())} if with_ids else {}))
+
+    whole = [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")]
+    schema = T.StructType([
+        docs.schema["doc_id"], T.StructField("piece", T.IntegerType()), *whole, *([T.StructField("ids", T.BinaryType())] * with_ids),
+    ])
+    return value_words(docs.select("doc_id", "text"), split, stem, value, finish, schema)
 
 
 def split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").split()
 
 
+def id_kind(vocabulary: int) -> str:
+    return "<u2" if vocabulary < 1 << 16 else "<u4"
+
+
+MARKS = (b".", b",")
+
+
+def stem(word: bytes) -> tuple[bytes, bytes]:
+    """A word of letters in lower case, and a closing mark: the tokenizer takes such words in lower case, and letters
+    and marks apart. Any other word stays as it is."""
+    mark = word[-1:] if word[-1:] in MARKS else b""
+    body = word[: len(word) - len(mark)].decode("utf-8")
+    low = body.lower()
+    if body.isalpha() and low.isalpha() and len(low) == len(body) and max(body) < "\u2000" and "Σ" not in body:
+        return low.encode("utf-8"), mark
+    return word, b""
+
+
 def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids)."""
     spark = docs.sparkSession

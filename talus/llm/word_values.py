@@ -12,14 +12,14 @@ import struct
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talus.llm.common import partitions
 
-#: words of a text in bytes; a block's count of each word; a bucket's values; a block's result
+#: The words of a text in bytes.
 Split = Callable[[str | None], list[bytes]]
 
 
@@ -37,56 +37,44 @@ def unpack(blob: bytes) -> list[bytes]:
     return out
 
 
-def value_words(docs: DataFrame, split: Split, value: Callable, finish: Callable, schema: str, counted: str = "true") -> DataFrame:
+def value_words(docs: DataFrame, split: Split, stem: Callable, value: Callable, finish: Callable, schema) -> DataFrame:
     """Apply ``finish`` to each block of ``docs`` (doc_id, text and more) with the values of its words.
 
-    ``value(words, counts)`` gives a list of byte strings for a bucket's distinct words and their occurrences in rows where
-    ``counted`` holds. ``finish(frame, values)`` gets a block's rows as pandas and a dictionary from word to value, and
-    yields frames of ``schema``.
+    ``stem(word)`` gives what of a word is valued and the rest; ``value(stems)`` gives a list of byte strings for a
+    bucket's distinct stems. ``finish(table, values)`` gets a block's rows and a dictionary from stem to value.
     """
     n = partitions(docs.sparkSession)
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
-    blocked = docs.withColumn("_block", block).withColumn("_counted", F.expr(counted)).repartition(n, "_block")
+    blocked = docs.withColumn("_block", block).repartition(n, "_block")
+    listed_schema = pa.schema([("_bucket", pa.int32()), ("_block", pa.int32()), ("words", pa.binary())])
 
-    def list_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: dict[int, dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
+    def list_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, set[bytes]] = defaultdict(set)
         for batch in batches:
-            for text, block, counts in zip(batch["text"], batch["_block"], batch["_counted"]):
-                mine = found[block]
-                if counts:
-                    for w in split(text):
-                        mine[w] += 1
-                else:
-                    for w in set(split(text)):
-                        mine[w] += 0
-        for block, counts in found.items():
+            for text, block in zip(batch.column("text").to_pylist(), batch.column("_block").to_pylist()):
+                found[block].update(split(text))
+        for block, words in found.items():
             buckets: list[list[bytes]] = [[] for _ in range(n)]
-            for w in counts:
+            for w in {stem(w)[0] for w in words}:
                 buckets[xxhash.xxh3_64_intdigest(w) % n].append(w)
-            for k, words in enumerate(buckets):
-                if words:
-                    sums = struct.pack(f"<{len(words)}Q", *map(counts.__getitem__, words))
-                    yield pd.DataFrame({"_bucket": [k], "_block": [block], "words": [pack(words)], "counts": [sums]})
-
-    def value_bucket(rows: pd.DataFrame) -> pd.DataFrame:
-        total: dict[bytes, int] = defaultdict(int)
-        lists = [unpack(x) for x in rows["words"]]
-        for words, counts in zip(lists, rows["counts"]):
-            for w, c in zip(words, struct.unpack(f"<{len(words)}Q", counts)):
-                total[w] += c
-        words = list(total)
-        values = dict(zip(words, value(words, list(total.values()))))
-        return pd.DataFrame({
-            "_block": rows["_block"], "words": rows["words"],
-            "values": [pack([values[w] for w in some]) for some in lists],
-        })
-
-    def finish_block(rows: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
+            for k, some in enumerate(buckets):
+                if some:
+                    row = [[k], [block], [pack(some)]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, listed_schema)], schema=listed_schema)
+
+    def value_bucket(rows: pa.Table) -> pa.Table:
+        lists = [unpack(x) for x in rows.column("words").to_pylist()]
+        words = list(set().union(*lists))
+        values = dict(zip(words, value(words)))
+        found = [pack([values[w] for w in some]) for some in lists]
+        return pa.table({"_block": rows.column("_block"), "words": rows.column("words"), "values": pa.array(found, pa.binary())})
+
+    def finish_block(rows: pa.Table, lists: pa.Table) -> pa.Table:
         values: dict[bytes, bytes] = {}
-        for words, found in zip(lists["words"], lists["values"]):
+        for words, found in zip(lists.column("words").to_pylist(), lists.column("values").to_pylist()):
             values.update(zip(unpack(words), unpack(found)))
         return finish(rows, values)
 
-    listed = blocked.mapInPandas(list_words, "_bucket int, _block int, words binary, counts binary")
-    valued = listed.groupBy("_bucket").applyInPandas(value_bucket, "_block int, words binary, values binary")
-    return blocked.groupBy("_block").cogroup(valued.groupBy("_block")).applyInPandas(finish_block, schema)
+    listed = blocked.mapInArrow(list_words, "_bucket int, _block int, words binary")
+    valued = listed.groupBy("_bucket").applyInArrow(value_bucket, "_block int, words binary, values binary")
+    return blocked.groupBy("_block").cogroup(valued.groupBy("_block")).applyInArrow(finish_block, schema)
