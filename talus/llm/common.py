@@ -56,18 +56,18 @@ def running_sum(df: DataFrame, order: list, value: str, out: str) -> DataFrame:
     )
 
 
-def map_texts(docs: DataFrame, keep: Sequence[str], describe: Callable, fields: dict[str, tuple[T.DataType, pa.DataType]]) -> DataFrame:
+def map_texts(docs: DataFrame, keep: Sequence[str], describe: Callable, fields: dict[str, tuple[T.DataType, pa.DataType]], column: str = "text") -> DataFrame:
     """The ``keep`` columns as they are, and ``fields`` from ``describe(texts)``, which gives a list for each of them.
 
     Columns pass through as Arrow arrays, so nulls and large numbers stay exact.
     """
     keep = list(dict.fromkeys(keep))
-    rows = docs.select(*dict.fromkeys([*keep, "text"]))
+    rows = docs.select(*dict.fromkeys([*keep, column]))
     schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField(c, kind[0]) for c, kind in fields.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = describe(batch.column("text").to_pylist()) if batch.num_rows else [[]] * len(fields)
+            found = describe(batch.column(column).to_pylist()) if batch.num_rows else [[]] * len(fields)
             made = [pa.array(x, kind[1]) for x, kind in zip(found, fields.values())]
             yield pa.RecordBatch.from_arrays([*map(batch.column, keep), *made], [*keep, *fields])
 

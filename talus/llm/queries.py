@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from talus.llm import jaccard_join, language_id, lm_scoring, mixing, packing, quality, toxicity, warc
+from talus.llm import html_text, image_copies, jaccard_join, language_id, lm_scoring, mixing, packing, quality, toxicity, warc
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
     "op2_warc": warc.op2_warc,
+    "op3_image_copies": image_copies.op3_image_copies,
     "op4_packing": packing.op4_packing,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality": quality.op6_quality,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
+    "op8_html_text": html_text.op8_html_text,
     "op9_mixing": mixing.op9_mixing,
     "op10_language_id": language_id.op10_language_id,
 }
