@@ -14,6 +14,7 @@ repeated rows and null ids are packed as any other; other columns are not read;
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from talus.llm.common import materialize, running_sum
 from talus.llm.word_values import value_words
 
 LENGTH, CLOSING_ID = 2048, 0
-ROUNDS, STEP, RATE = 3000, 0.25, 0.3
+ROUNDS, STEP, RATE = 1500, 0.25, 0.3
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -197,15 +198,17 @@ def id_kind(vocabulary: int) -> str:
 MARKS = (b".", b",")
 
 
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
 def stem(word: bytes) -> tuple[bytes, bytes]:
-    """A word of letters in lower case, and a closing mark: the tokenizer takes such words in lower case, and letters
-    and marks apart. Any other word stays as it is."""
-    mark = word[-1:] if word[-1:] in MARKS else b""
-    body = word[: len(word) - len(mark)].decode("utf-8")
-    low = body.lower()
-    if body.isalpha() and low.isalpha() and len(low) == len(body) and max(body) < "\u2000" and "Σ" not in body:
-        return low.encode("utf-8"), mark
-    return word, b""
+    """A word of Latin letters in lower case, and a closing mark: the tokenizer takes such words in lower case, and
+    letters and marks apart. Any other word stays as it is."""
+    body, mark = (word[:-1], word[-1:]) if word[-1:] in MARKS else (word, b"")
+    if body.isalpha():  # ASCII letters
+        return body.lower(), mark
+    text = body.decode("utf-8")
+    return (text.lower().encode("utf-8"), mark) if LATIN.fullmatch(text) else (word, b"")
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
