@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talus.operators import aggregates, joins, windows
+
 
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums, averages and counts of line items by return flag and status: one scan, one small shuffle."""
@@ -23,8 +25,8 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"pricing_summary": pricing_summary}
-SQL = {
+QUERIES = {"pricing_summary": pricing_summary} | joins.QUERIES | aggregates.QUERIES | windows.QUERIES
+SQL = joins.SQL | aggregates.SQL | windows.SQL | {
     "pricing_summary": """
 SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty,
        round(sum(l_extendedprice), 2) AS sum_base_price,

@@ -1 +1,47 @@
+"""Sources and sinks: typed readers of the tables, exports, latest-wins merging."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(spark: SparkSession, sql: str, views: dict[str, DataFrame] | None = None, **params) -> DataFrame:
+    """A parameterised query over DataFrames; parameters are bound, not pasted."""
+    return spark.sql(sql, args=params, **(views or {}))
+
+
+def json_column(df: DataFrame, column: str, schema: str, strict: bool = False) -> DataFrame:
+    """Decode a JSON text column; bad text becomes null, or an error where ``strict``."""
+    mode = "FAILFAST" if strict else "PERMISSIVE"
+    return df.withColumn(column, F.from_json(column, schema, {"mode": mode}))
+
+
+def export_csv(df: DataFrame, path: str) -> None:
+    """All values quoted, quotes doubled, lines ended by CR LF."""
+    df.write.option("header", True).option("quoteAll", True).option("escape", '"').option("lineSep", "\r\n").csv(path)
+
+
+def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
+    """Rows of both, the latest by ``order`` for each key; one shuffle by the key."""
+    both = old.unionByName(new, allowMissingColumns=True)
+    latest = Window.partitionBy(*key).orderBy(F.col(order).desc_nulls_last())
+    return both.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n")
+
+
+def insert_missing(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """``old`` and those rows of ``new`` whose key it lacks."""
+    return old.unionByName(new.join(old.select(*key), key, "left_anti"), allowMissingColumns=True)
+
+
+def sync_children(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Three-way sync: matched rows take the new values, new ones are added, missing ones stay but inactive."""
+    values = [c for c in new.columns if c != key]
+    a, b = old.drop("active").alias("a"), new.withColumn("_here", F.lit(True)).alias("b")
+    joined = a.join(b, key, "full_outer")
+    picked = [F.when(F.col("_here"), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in values]
+    return joined.select(key, *picked, F.coalesce("_here", F.lit(False)).alias("active"))

@@ -1 +1,47 @@
+"""Structured Streaming: idempotent intake, windowed counts, and a status machine with timeouts."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+
+def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
+    """Counts by event type and window; rows later than the watermark are left out."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
+
+
+def once_each(events: DataFrame, key: str, late: str = "1 day") -> DataFrame:
+    """The first row of each key within the watermark: a request that comes twice is taken once."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+
+
+ALLOWED = {"pending": {"parsing"}, "parsing": {"scoring", "failed"}, "scoring": {"completed", "failed"}, "failed": {"pending"}, "completed": set()}
+
+
+def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Follow one request's status; a silent one goes back to pending."""
+    if state.hasTimedOut:
+        state.update(("pending",))
+        yield pd.DataFrame({"id": [key[0]], "status": ["pending"], "valid": [True]})
+        return
+    now = state.get[0] if state.exists else "pending"
+    for rows in batches:
+        for status in rows.sort_values("ts")["status"]:
+            valid = status in ALLOWED.get(now, set())
+            now = status if valid else now
+            yield pd.DataFrame({"id": [key[0]], "status": [now], "valid": [valid]})
+    state.update((now,))
+    if now in ("parsing", "scoring"):
+        state.setTimeoutDuration(30 * 60 * 1000)
+
+
+def follow_status(events: DataFrame) -> DataFrame:
+    """(id, ts, status) to the statuses taken, one row for each event or timeout; stale after 30 minutes."""
+    return events.groupBy("id").applyInPandasWithState(
+        step, "id long, status string, valid boolean", "status string", "append", GroupStateTimeout.ProcessingTimeTimeout
+    )
