@@ -56,6 +56,13 @@ def running_sum(df: DataFrame, order: list, value: str, out: str) -> DataFrame:
     )
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that a task holds few texts as Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_texts(docs: DataFrame, keep: Sequence[str], describe: Callable, fields: dict[str, tuple[T.DataType, pa.DataType]], column: str = "text") -> DataFrame:
     """The ``keep`` columns as they are, and ``fields`` from ``describe(texts)``, which gives a list for each of them.
 
@@ -66,8 +73,8 @@ def map_texts(docs: DataFrame, keep: Sequence[str], describe: Callable, fields:
     schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField(c, kind[0]) for c, kind in fields.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = describe(batch.column(column).to_pylist()) if batch.num_rows else [[]] * len(fields)
+        for batch in slices(batches):
+            found = describe(batch.column(column).to_pylist())
             made = [pa.array(x, kind[1]) for x, kind in zip(found, fields.values())]
             yield pa.RecordBatch.from_arrays([*map(batch.column, keep), *made], [*keep, *fields])
 
@@ -78,7 +85,7 @@ def filter_texts(docs: DataFrame, keeps: Callable[[list[str | None]], list[bool]
     """The rows of ``docs`` whose text ``keeps`` accepts, all columns as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(keeps(batch.column("text").to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
