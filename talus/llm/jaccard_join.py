@@ -267,7 +267,7 @@ def classes(docs: DataFrame, keep=()) -> DataFrame:
     described = map_texts(docs, ["doc_id", *keep], describe, {"key": blob, "nodes": blob, "minima": blob, "shingles": blob})
     described = materialize(described.withColumn("_rid", F.monotonically_increasing_id()), "described")
     members = described.select("doc_id", "key", *keep)
-    own = F.struct("doc_id", *keep)
+    own = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", *keep)  # null ids come last
     sets = described.where("key IS NOT NULL").groupBy("key")
     sets = sets.agg(
         F.count("*").alias("weight"), F.min("_rid").alias("_rid"), F.min(own).alias("_least"),
@@ -316,7 +316,7 @@ def classes(docs: DataFrame, keep=()) -> DataFrame:
         F.when(alone, F.col("doc_id")).otherwise(F.col("_first.doc_id")).cast(id_kind).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        (alone | F.struct("doc_id", *keep).eqNullSafe(F.col("_first"))).alias("chosen"),
+        (alone | own.eqNullSafe(F.col("_first"))).alias("chosen"),
         *keep,
     )
 

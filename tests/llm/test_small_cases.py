@@ -121,6 +121,8 @@ def test_jaccard_join(spark, docs):
     got = {(r.doc_id, r.class_id, r.n_links) for r in jaccard_join.classes(docs).collect()}
     assert (5, 5, 2) in got and (100, 100, 0) in got and (101, 101, 0) in got and (None, None, 0) in got
     assert jaccard_join.classes(empty(docs)).count() == 0
+    twins = docs.sparkSession.createDataFrame([(None, line(1)), (3, line(1)), (2, line(1))], "doc_id long, text string")
+    assert {(r.doc_id, r.class_id, r.chosen) for r in jaccard_join.classes(twins).collect()} == {(None, 2, False), (3, 2, False), (2, 2, True)}
     kept = jaccard_join.deduplicated(docs)
     assert kept.columns == docs.columns and kept.where("doc_id = 5").count() == 1 and kept.where("doc_id BETWEEN 100 AND 102").count() == 3
 
