@@ -16,7 +16,7 @@ def found_copies(spark, pictures, edited):
     return {r.asker for r in pairs if r.asker == r.id}, sum(r.asker != r.id for r in pairs)
 
 
-@pytest.mark.parametrize("size, least", [(1.0, 30), (0.75, 20), (0.5, 2)])
+@pytest.mark.parametrize("size, least", [(1.0, 30), (0.75, 28), (0.5, 6)])
 def test_rescaled_copies_are_found(spark, size, least):
     rng = np.random.default_rng(6)
     pictures = [image_copies.draw(rng.normal(size=64)) for _ in range(30)]
@@ -29,3 +29,20 @@ def test_one_picture_stands_for_equal_ones(spark):
     rows = [(k, bytes([k // 3])) for k in range(9)] + [(None, b"\0"), (5, b"\0")]
     images, members = image_copies.distinct_images(spark.createDataFrame(rows, "id long, data binary").repartition(3))
     assert sorted(bytes(r.data) for r in images.collect()) == [b"\0", b"\1", b"\2"] and members.count() == 11
+
+
+def test_all_near_corners_meet(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(image_copies, "CROWD", 50, raising=False)
+    bits = rng.integers(0, 2, (300, 128), dtype=np.uint8)
+    asked = bits[:150].copy()
+    for k, row in enumerate(asked):
+        row[(rng.choice(16, k % 15, replace=False) * 8 + rng.integers(0, 8)) % 128] ^= 1
+    bits[200:] = bits[0]  # a crowd
+    wanted = {(q, i) for q, i in zip(*np.nonzero((asked[:, None] != bits[None]).sum(2) <= image_copies.NEAR))}
+    sides = []
+    for rows in (bits, asked):
+        h = np.packbits(rows, axis=1).view("<i8").tolist()
+        sides.append(spark.createDataFrame([(n, 0, 0.0, 0.0, 0.0, 1.0, *x) for n, x in enumerate(h)], "image long, corner int, x float, y float, angle float, scale float, low long, high long"))
+    found = image_copies.matches(*sides).select("q.image", F.col("i.image").alias("other")).collect()
+    assert len(found) == len(set(found)) and {tuple(r) for r in found} == wanted
