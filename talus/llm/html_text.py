@@ -41,6 +41,13 @@ CLOSES = {
     "tfoot": ({"thead", "tbody", "tfoot"}, _TABLE), "option": ({"option"}, {"select"}), "body": ({"head"}, set()),
 }
 P_CLOSERS = (BLOCKS - {"html", "body", "tr", "thead", "tbody", "tfoot", "caption"}) | {"body"}
+#: What a table holds outside its cells; a start tag goes back to the nearest of its set, and anything else stands before the table.
+CONTEXT = frozenset("table thead tbody tfoot tr colgroup".split())
+BACK = {
+    "caption": _TABLE, "colgroup": _TABLE, "thead": _TABLE, "tbody": _TABLE, "tfoot": _TABLE, "col": frozenset(("table", "colgroup")),
+    "tr": CONTEXT - {"tr", "colgroup"}, "td": CONTEXT - {"colgroup"}, "th": CONTEXT - {"colgroup"},
+}
+INSIDE = frozenset(BACK) | frozenset("form script style template".split())
 #: An end tag does not reach past these.
 SCOPES = frozenset(("table", "td", "th", "caption"))
 
@@ -72,7 +79,11 @@ def parse(html: str) -> Node:
         token = TOKEN.search(html, at)
         text = html[at : token.start() if token else len(html)]
         if text:
-            stack[-1].children.append(unescape(text) if "&" in text else text)
+            text = unescape(text) if "&" in text else text
+            if stack[-1].tag in CONTEXT and SPACE.sub("", text):
+                before_table(stack, text)
+            else:
+                stack[-1].children.append(text)
         if not token:
             break
         at = token.end()
@@ -91,9 +102,18 @@ def parse(html: str) -> Node:
             close(stack, {"p"}, SCOPES)
         if tag in CLOSES:
             close(stack, *CLOSES[tag])
+        if tag in BACK:
+            back(stack, tag)
+        elif tag == "table" and stack[-1].tag in CONTEXT:
+            del stack[table_at(stack) :]
         attrs = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(token[3])} if token[3].strip(" /") else None
-        node = Node(tag, attrs)
-        stack[-1].children.append(node)
+        node, loose = Node(tag, attrs), stack[-1].tag in CONTEXT
+        if loose and tag not in INSIDE:
+            before_table(stack, node)
+        else:
+            stack[-1].children.append(node)
+        if loose and tag == "form":
+            continue
         if tag in RAW:
             raw_end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
             inner = html[at : raw_end.start() if raw_end else len(html)]
@@ -104,6 +124,34 @@ def parse(html: str) -> Node:
     return root
 
 
+def table_at(stack: list[Node]) -> int:
+    """Where the innermost open table is, or 0."""
+    return next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "table"), 0)
+
+
+def before_table(stack: list[Node], child: Node | str) -> None:
+    """Content outside cells stands in front of its table, which is the last child of its parent while it is open."""
+    k = table_at(stack)
+    if k:
+        stack[k - 1].children.insert(-1, child)
+    else:
+        stack[-1].children.append(child)
+
+
+def back(stack: list[Node], tag: str) -> None:
+    """Close what is open inside the table up to where ``tag`` belongs, and open the row that a cell implies."""
+    for k in range(len(stack) - 1, 0, -1):
+        if stack[k].tag in BACK[tag]:
+            del stack[k + 1 :]
+            if tag in ("td", "th") and stack[k].tag != "tr" and len(stack) < MAX_DEPTH:
+                row = Node("tr")
+                stack[k].children.append(row)
+                stack.append(row)
+            return
+        if stack[k].tag in ("td", "th"):
+            return
+
+
 def close(stack: list[Node], tags: set[str] | frozenset[str], within: set[str] | frozenset[str]) -> None:
     """Close the innermost open ``tags`` and what is in them, unless one of ``within`` is nearer."""
     for k in range(len(stack) - 1, 0, -1):
@@ -217,35 +265,45 @@ def render(root: Node, depth: int = 0) -> str:
 
 
 def table_lines(table: Node, depth: int) -> list[str]:
-    """Rows of a table, cells padded to the width of their column; nested tables are laid out inside their cell."""
-    rows, captions, todo = [], [], [*reversed(table.children)]
+    """Rows of a table, cells padded to the width of their column and as high as they need; nested tables are laid out inside
+    their cell."""
+    rows: list[list[list[str]]] = []
+    captions: list[str] = []
+    todo = [*reversed(table.children)]
+
+    def lines(node: Node) -> list[str]:
+        inner = Node("div")
+        inner.children = node.children
+        found = "\n".join(x.rstrip() for x in render(inner, depth).split("\n")).strip("\n")
+        return found.split("\n") if found else []
+
     while todo:
         node = todo.pop()
         if isinstance(node, str) or not visible(node):
             continue
         if node.tag == "tr":
-            cells: list[str] = []
+            cells: list[list[str]] = []
             for c in node.children:
                 if isinstance(c, Node) and visible(c) and c.tag in ("td", "th"):
-                    inner = Node("div")
-                    inner.children = c.children
-                    cells.append(SPACE.sub(" ", render(inner, depth)).strip())
+                    cells.append(lines(c))
                     span = c.attrs.get("colspan", "1")
-                    cells.extend([""] * (min(int(span), 1000) - 1 if span.isdigit() else 0))
+                    cells.extend([[]] * (min(int(span), 1000) - 1 if span.isdigit() else 0))
             if cells:
                 rows.append(cells)
         elif node.tag == "caption":
-            inner = Node("div")
-            inner.children = node.children
-            captions.append(SPACE.sub(" ", render(inner, depth)).strip())
+            captions.extend(lines(node))
         else:
             todo.extend(reversed(node.children))
     widths: list[int] = []
     for cells in rows:
         widths.extend([0] * (len(cells) - len(widths)))
         for k, c in enumerate(cells):
-            widths[k] = max(widths[k], len(c))
-    return captions + ["  ".join(c.ljust(w) for c, w in zip(cells, widths)).rstrip() for cells in rows]
+            widths[k] = max([widths[k], *map(len, c)])
+    out = captions
+    for cells in rows:
+        for n in range(max([1, *map(len, cells)])):
+            out.append("  ".join((c[n] if n < len(c) else "").ljust(w) for c, w in zip(cells, widths)).rstrip())
+    return out
 
 
 def visible_text(html: str | None) -> str:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from talus.llm import image_copies
+from talus.llm import html_text, image_copies
 
 
 def found_copies(spark, pictures, edited):
@@ -46,3 +46,16 @@ def test_all_near_corners_meet(spark, monkeypatch):
         sides.append(spark.createDataFrame([(n, 0, 0.0, 0.0, 0.0, 1.0, *x) for n, x in enumerate(h)], "image long, corner int, x float, y float, angle float, scale float, low long, high long"))
     found = image_copies.matches(*sides).select("q.image", F.col("i.image").alias("other")).collect()
     assert len(found) == len(set(found)) and {tuple(r) for r in found} == wanted
+
+
+def test_tables_keep_all_text():
+    text = html_text.visible_text
+    assert text("<table><td>x</td></table>") == "x"
+    assert text("<table><tr><form><td>x</td></form></tr></table>") == "x"
+    assert text("a<table>b<tr><div>c</div><td>d<tr>e<td>f</table>g") == "ab\nc\ne\n\nd\nf\n\ng"
+    assert text("<table><tbody><p>a</p><th>b<td>c</table>") == "a\n\nb  c"
+    assert text("<table><tr><td><ul><li>a<li>b</ul><td>c<br>d<tr><td>e</table>") == "- a  c\n- b  d\ne"
+    assert text("<table><caption>t<tr><td>a<table><td>b</table></table>") == "t\na\n\nb"
+    assert text("<table>a<table><td>b</table>") == "a\n\nb"
+    for hard in ("<table>x" * 20_000, "<table>" + "<b>x" * 20_000, "<table><td>" * 500 + "x", "<table>" + "x<tr>" * 50_000):
+        assert "x" in text(hard)
