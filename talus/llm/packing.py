@@ -30,7 +30,8 @@ from talus.llm.common import materialize, running_sum
 from talus.llm.word_values import value_words
 
 LENGTH, CLOSING_ID = 2048, 0
-ROUNDS, STEP, RATE = 1500, 0.25, 0.3
+#: The program stops when no length is open, or at a multiple of ROUNDS if the plan is within GAP of the lower bound.
+ROUNDS, STEP, RATE, GAP = 3000, 0.25, 0.3, 0.001
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -77,9 +78,13 @@ def rounded_solution(histogram: dict[int, int], size: int, rounds: int) -> Plan:
     found[((size, 1),)] += int(left[size])
     left[size] = 0
     lengths, open_ = np.arange(size + 1), left * STEP >= 1
-    for _ in range(rounds):
-        if not open_.any():
-            break
+    bound, done = -(-sum(length * n for length, n in histogram.items()) // size), 0
+    while rounds and open_.any():
+        if done and done % rounds == 0:
+            plan = best_fit(found, left.copy(), size)
+            if sum(often for _, often in plan) <= bound * (1 + GAP):
+                return plan
+        done += 1
         covered = 1 - left / np.maximum(need, 1)
         price = np.where(open_, lengths * np.exp(-RATE * covered), -1.0)
         items, times = np.unique(best_configuration(price), return_counts=True)
@@ -90,7 +95,11 @@ def rounded_solution(histogram: dict[int, int], size: int, rounds: int) -> Plan:
         else:
             open_[items[(left[items] / times).argmin()]] = False
         open_ &= left * STEP >= 1
-    # best fit for the rest: groups of equal sequences by free room
+    return best_fit(found, left, size)
+
+
+def best_fit(found: dict[tuple, int], left: np.ndarray, size: int) -> Plan:
+    """Put the pieces that are left into the free room of the configurations, by groups of equal sequences."""
     free: dict[int, list[list]] = defaultdict(list)
     for items, often in found.items():
         if often:
@@ -221,7 +230,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False)
     for length in sorted(histogram):
         before[length], total = total, total + histogram[length]
     table = places(solve(histogram))
-    # a row for each length of each configuration: bounded by ROUNDS and LENGTH, whatever the corpus
+    # a row for each length of each configuration: bounded by the configurations and LENGTH, whatever the corpus
     shared = spark.sparkContext.broadcast((table, before))
     ranked = running_sum(pieces.withColumn("_one", F.lit(1)), ["length", "doc_id", "piece", "ids_crc32"], "_one", "_rank")
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from talus.llm import html_text, image_copies
+from talus.llm import html_text, image_copies, packing
 
 
 def found_copies(spark, pictures, edited):
@@ -59,3 +59,12 @@ def test_tables_keep_all_text():
     assert text("<table>a<table><td>b</table>") == "a\n\nb"
     for hard in ("<table>x" * 20_000, "<table>" + "<b>x" * 20_000, "<table><td>" * 500 + "x", "<table>" + "x<tr>" * 50_000):
         assert "x" in text(hard)
+
+
+def test_packing_program_runs_until_it_converges(monkeypatch):
+    histogram = {102: 6000, 54: 6000, 52: 6000, 46: 12_000}  # best fit alone needs 11,000 sequences, the bound is 9,000
+    monkeypatch.setattr(packing, "ROUNDS", 2)
+    plan = packing.solve(histogram, 200)
+    assert sum(often for _, often in plan) <= 9500
+    packed = {k: sum(items.get(k, 0) * often for items, often in plan) for k in histogram}
+    assert packed == histogram
