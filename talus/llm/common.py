@@ -16,9 +16,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the session's ``spark.checkpoint.dir`` (a folder of this machine only where that is unset)."""
+    """A new path under the session's ``spark.checkpoint.dir``; where that is unset, a local master gets a folder of its
+    machine, and a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/talus-scratch"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -27,7 +30,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the scratch folder and read it back: later stages restart from the files, not from the lineage."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._scratch_path = path
+    return found
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of ``materialize`` from which nothing more will be read."""
+    for df in tables:
+        path = getattr(df, "_scratch_path", None)
+        if path:
+            jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+
+
+def free_name(columns: Sequence[str], name: str) -> str:
+    """``name``, with as many underscores before it as keep it apart from ``columns`` (whatever their case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def partitions(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talus.llm.common import materialize
+from talus.llm.common import discard, materialize
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -23,7 +23,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = large.where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
-        edges = materialize(small.select("e.a", F.col("e.m").alias("b")).where("a <> b").distinct(), "edges")
+        after = materialize(small.select("e.a", F.col("e.m").alias("b")).where("a <> b").distinct(), "edges")
+        discard(edges)
+        edges = after
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if now == before:
             break

@@ -3,13 +3,21 @@
 Texts with equal shingle sets are one set with a weight. A set is embedded as ``WIDTH`` minima of hashed shingles. A run
 starts from all sets; a node of its tree samples coordinates, each with probability 1 / (``SAMPLED`` * ``WIDTH``), and
 sends every set to one child for each sampled coordinate, named by the set's value there, so that sets that share the
-sampled token meet. Nodes of at most ``SPLIT`` sets are compared by brute force; larger ones are split again, up to
-``LEVELS`` times, and what is still large then is compared in pairs of blocks, however large it is. The number of runs
-follows from the chance that two sets at the threshold stay together on some path, and ``RECALL``.
-
-Brute force on the minima only forms candidate groups (with a margin of four standard deviations below the threshold).
-Within a group all pairs of shingle sets are then compared exactly, in pairs of blocks where it is large, so a pair counts once
-whatever runs found it; links are summed by set and classes are the connected components of exact links.
+sampled token meet. Nodes of at most ``SPLIT`` sets are compared by brute force; larger ones are split again on fresh
+coordinates until they are small. The number of runs follows from the chance that two sets at the threshold stay together
+on some path, and ``RECALL``.
+
+Large groups of copies never fall apart that way, so they are collapsed: in a large node every set meets about ``PIVOTS``
+sampled ones and takes the label of those it agrees with. Sets with one label are in one candidate group already; a node
+with one label only is closed, and one with at most ``SPLIT`` sets besides its largest label is finished by letting those
+meet all others. The rows made are in proportion to the sets in a node.
+
+Agreement of minima only forms candidate groups (with a margin of four standard deviations below the threshold). Within a
+group all pairs of shingle sets are then compared exactly, as products of bounded matrices in one task for a group of up to
+``BLOCK`` sets, and for larger groups in pairs of packed blocks (one row for each block of up to ``BLOCK`` sets or
+``BLOCK_BYTES`` bytes). A pair counts once whatever runs found it; links are summed by set and classes are the connected
+components of exact links. The links of a group of n different texts are counted, never emitted: rows grow with the
+square of n / ``BLOCK``, arithmetic with the number of links.
 
 Defined cases: a text of one to four words has one shingle, all its words; null texts and texts without words link to
 nothing; equal texts are links of each other; null ids are kept (a class of such rows only has a null id); texts are used
@@ -18,8 +26,9 @@ whole; other columns are not read; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,11 +38,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talus.llm.common import map_texts, materialize, partitions
+from talus.llm.common import discard, free_name, map_texts, materialize, partitions
 from talus.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
-WIDTH, SAMPLED, LEVELS, SPLIT, BLOCK, RECALL = 128, 0.6, 5, 1500, 512, 0.999
+WIDTH, SAMPLED, SPLIT, PIVOTS, RECALL = 128, 0.6, 1500, 64, 0.999
+BLOCK, BLOCK_BYTES = 2048, 8 << 20
+#: Bytes of a shingle's hash that are compared.
+SHINGLE = 5
 CANDIDATE = math.floor(WIDTH * THRESHOLD - 4 * math.sqrt(WIDTH * THRESHOLD * (1 - THRESHOLD)))
 
 _U = np.uint64
@@ -49,10 +61,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def runs(threshold=THRESHOLD, sampled=SAMPLED, levels=LEVELS, recall=RECALL) -> int:
-    """Runs needed: the pair is lost in one run with the chance that a branching process dies out within its levels."""
+def runs(threshold=THRESHOLD, sampled=SAMPLED, recall=RECALL) -> int:
+    """Runs needed: the pair is lost in one run with the chance that a branching process dies out."""
     lost = 0.0
-    for _ in range(levels):
+    for _ in range(1000):
         lost = math.exp(-threshold / sampled * (1 - lost))
     return math.ceil(math.log(1 - recall) / math.log(lost))
 
@@ -83,7 +95,7 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 
 def describe(texts: list[str | None]) -> tuple[list, ...]:
-    """Key, first nodes, low bytes of the minima and 32-bit shingles of each text; null for texts without words."""
+    """Key, first nodes, low bytes of the minima and 40-bit shingles of each text; null for texts without words."""
     memo: dict[bytes, int] = {}
     _, at, name = sampled(mix(np.arange(1, runs() + 1, dtype=_U) * _U(0xA24BAED4963EE407)))  # the runs' roots hold all sets
     out: tuple[list, ...] = ([], [], [], [])
@@ -92,7 +104,7 @@ def describe(texts: list[str | None]) -> tuple[list, ...]:
         found: tuple = (None,) * 4
         if len(shingles):
             least = minima(shingles)
-            nodes, short = child(name, least[at]), np.unique(shingles.astype(np.uint32))
+            nodes, short = child(name, least[at]), shingles.view(np.uint8).reshape(-1, 8)[:, 8 - SHINGLE :]
             found = (xxhash.xxh3_128_digest(shingles.tobytes()), nodes.tobytes(), least.astype(np.uint8).tobytes(), short.tobytes())
         for column, x in zip(out, found):
             column.append(x)
@@ -129,11 +141,11 @@ def next_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             part = batch.iloc[lo : lo + 2000]
             row, at, name = sampled(part["node"].to_numpy(np.int64))
             nodes = child(name, stack(part["minima"])[row, at])
-            yield pd.DataFrame({"node": nodes, "key": part["key"].to_numpy()[row], "minima": part["minima"].to_numpy()[row]})
+            yield pd.DataFrame({"node": nodes} | {c: part[c].to_numpy()[row] for c in ("key", "minima", "label")})
 
 
 def in_groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
-    """Runs of rows with equal ``by`` columns, from batches that are sorted by them."""
+    """Runs of rows with equal ``by`` columns, from batches that are sorted by them, of bounded size each."""
     held: pd.DataFrame | None = None
     for batch in batches:
         if held is not None:
@@ -146,10 +158,9 @@ def in_groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.Dat
             new[1:] |= x[1:] != x[:-1]
         cuts = [0, *np.flatnonzero(new).tolist()]
         for lo, hi in zip(cuts, cuts[1:]):
-            if hi - lo > 1:
-                yield batch.iloc[lo:hi]
+            yield batch.iloc[lo:hi]
         held = batch.iloc[cuts[-1] :]
-    if held is not None and len(held) > 1:
+    if held is not None and len(held):
         yield held
 
 
@@ -166,23 +177,25 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
+def agreeing(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs of minima that agree in at least CANDIDATE places."""
+    pairs = []
+    for lo in range(0, len(one), 32):
+        agree = (one[lo : lo + 32, None, :] == two[None, :, :]).sum(2)
+        x, y = np.nonzero(agree >= CANDIDATE)
+        pairs.append((lo + x, y))
+    x, y = (np.concatenate(p) for p in zip(*pairs))
+    return x, y
+
+
 def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Edges between sets of a node that agree in enough minima; as many as a spanning forest has."""
+    """Edges between sets of a small node that agree in enough minima; as many as a spanning forest has."""
     out_a, out_b = [], []
-    for group in in_groups(batches, ["node", "left", "right"]):
-        keys, values, block = group["key"].to_numpy(), stack(group["minima"]), group["block"].to_numpy()
-        left, right = group["left"].iat[0], group["right"].iat[0]
-        one = np.flatnonzero(block == left)
-        two = one if left == right else np.flatnonzero(block == right)
-        if not len(one) or not len(two):
+    for group in in_groups(batches, ["node"]):
+        if len(group) < 2:
             continue
-        pairs = []
-        for lo in range(0, len(one), 32):
-            agree = (values[one[lo : lo + 32], None, :] == values[None, two, :]).sum(2)
-            x, y = np.nonzero(agree >= CANDIDATE)
-            pairs.append((one[lo + x], two[y]))
-        x, y = (np.concatenate(p) for p in zip(*pairs))
-        root = forest(len(keys), x, y)
+        keys, values = group["key"].to_numpy(), stack(group["minima"])
+        root = forest(len(keys), *agreeing(values, values))
         linked = np.flatnonzero(root != np.arange(len(keys)))
         out_a.extend(keys[linked])
         out_b.extend(keys[root[linked]])
@@ -193,81 +206,178 @@ def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": out_a, "b": out_b})
 
 
-def intersections(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all sets in ``one`` with all in ``two``, as sums of products of bounded matrices."""
+def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each share of a large node meets the node's asked sets: new labels, and edges (key, near) to other sets."""
+    for group in in_groups(batches, ["node", "share"]):
+        group = group.sort_values(["asked", "key"], ascending=[False, True])
+        keys, values, old = group["key"].to_numpy(), stack(group["minima"]), group["label"].to_numpy(np.int64)
+        n, asked = len(keys), int(group["asked"].sum())
+        x, y = agreeing(values, values[:asked]) if asked else (np.empty(0, int),) * 2
+        x, y = x[x != y], y[x != y]
+        _, first, which = np.unique(old, return_index=True, return_inverse=True)
+        same = np.flatnonzero(old != 0)  # one label is one candidate group already
+        root = forest(n, np.concatenate((x, same)), np.concatenate((y, first[which[same]])))
+        linked = np.zeros(n, bool)
+        linked[x] = linked[y] = True
+        names = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), _U, n) | _U(1)
+        label = np.where(root < asked, names[root].astype(np.int64), old)
+        new = linked & (root != np.arange(n)) & ((old == 0) | (old != old[root]))
+        near = np.full(n, None, object)
+        near[new] = keys[root[new]]
+        stay = np.arange(n) >= asked
+        out = stay | new
+        yield pd.DataFrame({
+            "node": group["node"].to_numpy()[out], "key": keys[out], "minima": group["minima"].to_numpy()[out],
+            "label": label[out], "near": near[out], "on": (stay & group["on"].to_numpy(bool))[out],
+        })
+
+
+def intersections(one: list[np.ndarray], two: list[np.ndarray], same: bool = False) -> np.ndarray:
+    """Sizes of the intersections of all sets in ``one`` with all in ``two``, as sums of products of bounded matrices.
+
+    With ``same`` (one block with itself) shingles of a single set are left out; the diagonal means nothing then.
+    """
     def flat(sets):
         return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
 
     (u, i), (v, j) = flat(one), flat(two)
-    shared = np.intersect1d(u, v)
+    if same:
+        shared, times = np.unique(u, return_counts=True)
+        shared = shared[times > 1]
+    else:
+        shared = np.intersect1d(u, v)
     out = np.zeros((len(one), len(two)), np.float32)
-    for lo in range(0, len(shared), 4096):
-        part = shared[lo : lo + 4096]
+    for lo in range(0, len(shared), 2048):
+        part = shared[lo : lo + 2048]
         sides = []
-        for x, k, n in ((u, i, len(one)), (v, j, len(two))):
+        for x, k, n in ((u, i, len(one)),) if same else ((u, i, len(one)), (v, j, len(two))):
             at = np.minimum(np.searchsorted(part, x), len(part) - 1)
             hit = part[at] == x
             m = np.zeros((n, len(part)), np.float32)
             m[k[hit], at[hit]] = 1
             sides.append(m)
-        out += sides[0] @ sides[1].T
+        out += sides[0] @ sides[-1].T
     return out
 
 
+def shingles_of(blob: bytes) -> np.ndarray:
+    """Packed hashes as numbers."""
+    wide = np.zeros((len(blob) // SHINGLE, 8), np.uint8)
+    wide[:, 8 - SHINGLE :] = np.frombuffer(blob, np.uint8).reshape(-1, SHINGLE)
+    return wide.view(_U).ravel()
+
+
+def count_links(one: tuple, two: tuple | None) -> pd.DataFrame:
+    """Per set of one block, or of two: the weight of the sets it links to, and the smallest it is connected with.
+
+    A block is its keys, weights and sets of shingles.
+    """
+    same = two is None
+    (keys, weight, sets), (other, heavy, far) = one, one if same else two
+    both = intersections(sets, far, same)
+    size = np.array([len(x) for x in sets]), np.array([len(x) for x in far])
+    # |A and B| >= t |A or B|, in whole numbers
+    t = int(THRESHOLD * 10)
+    linked = both * (10 + t) >= (size[0][:, None] + size[1][None, :]) * t - 0.5
+    if same:
+        np.fill_diagonal(linked, False)
+    x, y = np.nonzero(linked)
+    if same:
+        root = forest(len(keys), x, y)
+        return pd.DataFrame({"key": keys, "links": linked @ weight, "near": keys[root]})
+    root = forest(len(keys) + len(other), x, len(keys) + y)
+    every = np.concatenate((keys, other))
+    return pd.DataFrame({"key": every, "links": np.concatenate((linked @ heavy, weight @ linked)), "near": every[root]})
+
+
 def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per set and pair of blocks: the weight of the sets it links to, and the smallest set it is connected with."""
+    """Links within groups of one block."""
+    for group in in_groups(batches, ["root"]):
+        if len(group) > 1:
+            yield count_links((group["key"].to_numpy(), group["weight"].to_numpy(np.int64), list(map(shingles_of, group["shingles"]))), None)
+
+
+def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row for each block of a large group."""
+    for group in in_groups(batches, ["root", "block"]):
+        yield pd.DataFrame({
+            "root": [group["root"].iat[0]], "block": [group["block"].iat[0]], "blocks": [group["blocks"].iat[0]],
+            "keys": [b"".join(group["key"])], "weights": [group["weight"].to_numpy(np.int64).tobytes()],
+            "sizes": [(group["shingles"].str.len().to_numpy() // SHINGLE).astype("<u4").tobytes()], "sets": [b"".join(group["shingles"])],
+        })
+
+
+def exact_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links between two packed blocks, or within one."""
+    def unpacked(row) -> tuple:
+        keys = np.array([row.keys[k : k + 16] for k in range(0, len(row.keys), 16)], object)
+        cuts = np.cumsum(np.frombuffer(row.sizes, "<u4").astype(np.int64))[:-1]
+        return keys, np.frombuffer(row.weights, np.int64), np.split(shingles_of(row.sets), cuts)
+
+    columns = ["keys", "weights", "sizes", "sets"]
     for group in in_groups(batches, ["root", "left", "right"]):
-        keys, block, weight = group["key"].to_numpy(), group["block"].to_numpy(), group["weight"].to_numpy(np.int64)
-        sets = [np.frombuffer(x, np.uint32) for x in group["shingles"]]
-        left, right = group["left"].iat[0], group["right"].iat[0]
-        one = np.flatnonzero(block == left)
-        two = one if left == right else np.flatnonzero(block == right)
-        if not len(one) or not len(two):
-            continue
-        size = np.array([len(x) for x in sets])
-        both = np.rint(intersections([sets[k] for k in one], [sets[k] for k in two])).astype(np.int64)
-        union = size[one][:, None] + size[two][None, :] - both
-        linked = both * 10 >= union * int(THRESHOLD * 10)
-        links = np.zeros(len(keys), np.int64)
-        if left == right:
-            np.fill_diagonal(linked, False)
-            links[one] = linked @ weight[one]
-        else:
-            links[one], links[two] = linked @ weight[two], weight[one] @ linked
-        x, y = np.nonzero(linked)
-        root = forest(len(keys), one[x], two[y])
-        yield pd.DataFrame({"key": keys, "links": links, "near": keys[root]})
+        blocks = [unpacked(row) for row in group[columns].itertuples(index=False, name="Block")]
+        yield count_links(blocks[0], blocks[1] if len(blocks) > 1 else None)
 
 
-def block_pairs(rows: DataFrame, by: str, run: Callable, schema: str) -> DataFrame:
-    """Deal the rows of each group of ``by`` to blocks of about ``BLOCK`` sets and run every pair of blocks in one task.
+def gathered(rows: DataFrame, *by: str) -> DataFrame:
+    """Equal ``by`` columns side by side in one task."""
+    return rows.repartition(partitions(rows.sparkSession), *by).sortWithinPartitions(*by)
 
-    ``n`` is the size of a row's group; a group of up to ``BLOCK`` sets is one block.
-    """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = rows.withColumn("_blocks", blocks)
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("key", F.lit(3)), F.col("_blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    dealt = dealt.withColumn("_other", other)
-    dealt = dealt.withColumn("left", F.least("block", "_other")).withColumn("right", F.greatest("block", "_other"))
-    dealt = dealt.drop("_other", "_blocks", "n")
-    n = partitions(rows.sparkSession)
-    sorted_rows = dealt.repartition(n, by, "left", "right").sortWithinPartitions(by, "left", "right")
-    return sorted_rows.mapInPandas(run, schema)
+
+def candidates(sets: DataFrame) -> DataFrame:
+    """Edges (a, b) between keys: a spanning forest of each candidate group, some edges repeated. ``sets`` has key, nodes, minima."""
+    first = sets.select("key", "nodes").mapInPandas(first_level, "node long, key binary")
+    rows, edges, level = materialize(first, "nodes"), [], 0
+    while True:
+        level += 1
+        # the tables joined here grow with the corpus: by sorting at every size, never by broadcast
+        if level == 1:
+            stats = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("*", F.lit(0).cast("long").alias("most"), F.lit(0).cast("long").alias("main"))
+            met = rows.join(stats.hint("merge"), "node").join(sets.select("key", "minima").hint("merge"), "key").withColumn("label", F.lit(0).cast("long"))
+        else:
+            stats = rows.groupBy("node", "label").agg(F.count("*").alias("m"))
+            labelled = F.when(F.col("label") != 0, F.struct("m", "label"))
+            stats = stats.groupBy("node").agg(F.sum("m").alias("n"), F.max(labelled).alias("top"))
+            stats = stats.select("node", "n", F.coalesce("top.m", F.lit(0)).alias("most"), F.coalesce("top.label", F.lit(0)).alias("main"))
+            met = rows.join(stats.where("n > 1 AND most < n").hint("merge"), "node")
+        met = materialize(met.select("node", "key", "minima", "label", "n", "most", "main"), "met")
+        small = gathered(met.where(F.col("n") <= SPLIT).select("node", "key", "minima"), "node")
+        edges.append(materialize(small.mapInPandas(compare, "a binary, b binary").distinct(), "found"))
+        large = met.where(F.col("n") > SPLIT)
+        discard(rows)
+        if large.isEmpty():
+            discard(met)
+            return functools.reduce(DataFrame.unionByName, edges)
+        on = F.col("n") - F.col("most") > SPLIT
+        chance = F.pmod(F.xxhash64("key", "node"), F.lit(1 << 30)) / (1 << 30)
+        asked = F.when(on, chance < PIVOTS / F.col("n")).otherwise(F.col("label") != F.col("main"))
+        shares = F.ceil(F.col("n") / SPLIT).cast("int")
+        columns = ["node", "key", "minima", "label", on.alias("on")]
+        members = large.select(*columns, F.pmod(F.xxhash64("key", F.lit(3)), shares).alias("share"), F.lit(False).alias("asked"))
+        others = large.where(asked).select(*columns, F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), F.lit(True).alias("asked"))
+        done = gathered(members.unionByName(others.withColumn("share", F.col("share").cast("int"))), "node", "share")
+        done = materialize(done.mapInPandas(meet, "node long, key binary, minima binary, label long, near binary, on boolean"), "labelled")
+        edges.append(materialize(done.where("near IS NOT NULL").select(F.col("key").alias("a"), F.col("near").alias("b")).distinct(), "found"))
+        going = done.where("on").select("node", "key", "minima", "label")
+        rows = materialize(going.mapInPandas(next_level, "node long, key binary, minima binary, label long"), "nodes")
+        discard(met, done)
 
 
 def classes(docs: DataFrame, keep=()) -> DataFrame:
     """Per document: doc_id, class_id (the smallest doc_id of its class), class_size, n_links, chosen, ``keep`` columns.
 
     ``chosen`` is true for the rows that have the smallest id of their class (and, among equal ids, the least of
-    ``keep``).
+    ``keep``). Kept columns may have any name but those.
     """
     id_kind = docs.schema["doc_id"].dataType.simpleString()
     blob = (T.BinaryType(), pa.binary())
-    described = map_texts(docs, ["doc_id", *keep], describe, {"key": blob, "nodes": blob, "minima": blob, "shingles": blob})
+    kept = [f"_kept{k}" for k in range(len(keep))]
+    named = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept)))
+    described = map_texts(named, ["doc_id", *kept], describe, {"key": blob, "nodes": blob, "minima": blob, "shingles": blob})
     described = materialize(described.withColumn("_rid", F.monotonically_increasing_id()), "described")
-    members = described.select("doc_id", "key", *keep)
-    own = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", *keep)  # null ids come last
+    members = described.select("doc_id", "key", *kept)
+    own = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", *kept)  # null ids come last
     sets = described.where("key IS NOT NULL").groupBy("key")
     sets = sets.agg(
         F.count("*").alias("weight"), F.min("_rid").alias("_rid"), F.min(own).alias("_least"),
@@ -275,30 +385,23 @@ def classes(docs: DataFrame, keep=()) -> DataFrame:
     )
     sets = materialize(sets.select("key", "weight", "_rid", "_least", "_sketch.*"), "sets")
 
-    edges, nodes = None, materialize(sets.select("key", "nodes").mapInPandas(first_level, "node long, key binary"), "nodes")
-    for level in range(1, LEVELS + 1):
-        # the tables joined here grow with the corpus: by sorting at every size, never by broadcast
-        sizes = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        rows = nodes.join(sizes.hint("merge"), "node")
-        if level == 1:
-            rows = rows.join(sets.select("key", "minima").hint("merge"), "key")
-        rows = materialize(rows, "met")
-        last = level == LEVELS
-        small = rows if last else rows.where(F.col("n") <= SPLIT)
-        found = block_pairs(small, "node", compare, "a binary, b binary").distinct()
-        edges = materialize(found if edges is None else edges.unionByName(found), "found")
-        large = rows.where(F.col("n") > SPLIT)
-        if last or large.isEmpty():
-            break
-        children = large.select("node", "minima", "key").mapInPandas(next_level, "node long, key binary, minima binary")
-        nodes = materialize(children, "nodes")
-
-    groups = materialize(components(edges).withColumnRenamed("node", "key"), "groups")
-    sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
-    grouped = groups.join(sets.select("key", "weight", "_rid"), "key")
+    groups = materialize(components(candidates(sets)).withColumnRenamed("node", "key"), "groups")
+    grouped = groups.hint("merge").join(sets.select("key", "weight", "_rid"), "key")
     shingles = described.select("_rid", "shingles")
-    rows = grouped.hint("merge").join(shingles, "_rid").drop("_rid").join(sizes, "root")
-    linked = materialize(block_pairs(rows, "root", exact, "key binary, links long, near binary"), "linked")
+    rows = materialize(grouped.hint("merge").join(shingles, "_rid").drop("_rid"), "grouped")
+    sizes = rows.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles")).alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    rows = rows.join(sizes.select("root", blocks.alias("blocks")).hint("merge"), "root")
+    linked = "key binary, links long, near binary"
+    one = gathered(rows.where("blocks = 1").drop("blocks"), "root").mapInPandas(exact, linked)
+    many = rows.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int"))
+    packs = "root binary, block int, blocks int, keys binary, weights binary, sizes binary, sets binary"
+    many = materialize(gathered(many, "root", "block").mapInPandas(packed, packs), "packed")
+    # a row here is a whole block of sets
+    many = many.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    many = many.withColumn("left", F.least("block", "_other")).withColumn("right", F.greatest("block", "_other"))
+    many = gathered(many.drop("block", "blocks", "_other"), "root", "left", "right").mapInPandas(exact_pairs, linked)
+    linked = materialize(one.unionByName(many), "linked")
     joined = components(linked.select(F.col("key").alias("a"), F.col("near").alias("b"))).withColumnRenamed("node", "key")
     links = linked.groupBy("key").agg(F.sum("links").alias("links"))
 
@@ -317,20 +420,21 @@ def classes(docs: DataFrame, keep=()) -> DataFrame:
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         (alone | own.eqNullSafe(F.col("_first"))).alias("chosen"),
-        *keep,
+        *(F.col(k).alias(c) for c, k in zip(keep, kept)),
     )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each class, in the columns of ``docs``; texts without words all stay."""
-    hashed = docs.withColumn("_text", F.xxhash64("text"))
-    stay = classes(hashed, keep=["_text"]).where("chosen")
-    stay = stay.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_t")).distinct()
-    same = hashed["doc_id"].eqNullSafe(stay["_id"]) & (hashed["_text"] == stay["_t"])
+    """One document of each class, in the columns of ``docs`` (of any names); texts without words all stay."""
+    text = free_name(docs.columns, "_text")
+    hashed = docs.withColumn(text, F.xxhash64("text"))
+    stay = classes(hashed, keep=[text]).where("chosen")
+    stay = stay.select(F.col("doc_id").alias("_stay_id"), F.col(text).alias("_stay_text")).distinct()
+    same = hashed["doc_id"].eqNullSafe(stay["_stay_id"]) & (hashed[text] == stay["_stay_text"])
     kept = hashed.join(stay, same, "left_semi")
     blank = F.coalesce(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")), F.lit("")) == ""
-    worded = kept.where(~blank).dropDuplicates(["doc_id", "_text"])
-    return worded.unionByName(hashed.where(blank)).select(*docs.columns)
+    worded = kept.where(~blank).dropDuplicates(["doc_id", text])
+    return worded.unionByName(hashed.where(blank)).drop(text)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

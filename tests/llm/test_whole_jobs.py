@@ -68,3 +68,48 @@ def test_packing_program_runs_until_it_converges(monkeypatch):
     assert sum(often for _, often in plan) <= 9500
     packed = {k: sum(items.get(k, 0) * often for items, often in plan) for k in histogram}
     assert packed == histogram
+
+
+def test_near_copies_by_the_thousand(spark, monkeypatch):
+    """A group far larger than a node or a block: links and classes equal brute force."""
+    from talus.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "SPLIT", 200)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 300)
+    rng = np.random.default_rng(12)
+    base, texts = [f"b{k}" for k in range(120)], []
+    for g in range(2500):
+        words = list(base)
+        for k in rng.integers(0, 120, rng.integers(0, 4)):
+            words[k] = f"x{rng.integers(0, 10**6)}"
+        texts.append(" ".join(words))
+    shared = [f"p{k}" for k in range(40)]  # a passage of many texts that are no copies
+    texts += [" ".join([*shared, *(f"u{n}_{k}" for k in range(80))]) for n in range(1200)]
+    sets = [frozenset(tuple(t.split()[i : i + 5]) for i in range(116)) for t in texts]
+    number: dict = {}
+    rows = [[number.setdefault(s, len(number)) for s in x] for x in sets]
+    m = np.zeros((2500, len(number)), np.float32)
+    for k, x in enumerate(rows[:2500]):
+        m[k, x] = 1
+    m = m[:, m.sum(0) > 1]
+    size = np.array([len(x) for x in sets[:2500]])
+    both = m @ m.T
+    linked = both * 18 >= 8 * (size[:, None] + size[None, :]) - 0.5
+    np.fill_diagonal(linked, False)
+    exact = {}
+    for k, x in enumerate(sets[:2500]):
+        exact.setdefault(x, []).append(k)
+    for ks in exact.values():
+        for a in ks:
+            for b in ks:
+                linked[a, b] = a != b
+    got = {r.doc_id: r for r in jaccard_join.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k].n_links for k in range(2500)] == linked.sum(1).tolist()
+    assert all(got[k].n_links == 0 and got[k].class_id == k for k in range(2500, 3700))
+    root = np.arange(2500)
+    while True:
+        new = np.minimum(root, np.where(linked, root[None, :], 2500).min(1))
+        if (new == root).all():
+            break
+        root = new
+    assert [got[k].class_id for k in range(2500)] == root.tolist()
