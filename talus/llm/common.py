@@ -58,6 +58,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def block_count(docs: DataFrame, size: int, column: str = "text") -> int:
+    """Blocks of about ``size`` bytes that the texts of ``docs`` make, at least one."""
+    total = docs.agg(F.sum(F.octet_length(column) + 1)).first()[0]
+    return max(1, -(-(total or 0) // size))
+
+
 def running_sum(df: DataFrame, order: list, value: str, out: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over all rows up to this one in the total order ``order`` (column names).
 

@@ -1,26 +1,33 @@
-"""Operator 1: language-model scores from a log-frequency Bloom filter of word pairs.
+"""Operator 1: language-model scores from a log-frequency Bloom filter of word pairs and triples.
 
-Counting. Every task sums the hashed word pairs of its training texts and sends them, packed by the range of their hash,
-to buckets. A bucket keeps pairs seen at least ``MIN_COUNT`` times, quantises a count c to the level
-1 + floor(log_B(c / MIN_COUNT)), and enters the pair once for every level up to its own in a Bloom filter of its own, sized
-for its entries. The buckets' filters side by side are the filter; it grows with the corpus, so it is cut into parts of at
-most ``MAX_PART`` bytes, each broadcast by itself, and the texts are scored once for every part (a pair is in one part
-only, and the sums of the parts add up).
+Counting. Every task sums the hashed n-grams (2 to ``ORDER`` words) of its training texts and sends them, packed by the
+range of their hash, to buckets. A bucket quantises each count to a level (``EDGES`` holds the least count of each: 1, 2, 3,
+4, 6, 8, 12, ...) and enters the n-gram once for every level up to its own in a Bloom filter of its own, sized for its
+entries. Every n-gram enters, those seen once as well. The buckets' filters side by side are the filter.
 
-Scoring. A pair's level is found by probing level after level until one is missing; the lower edge of its range stands
-for the count. P(w | v) = (count(v, w) + MU * P(w)) / (count(v) + MU), with the exact counts of single words and the base
-model's P(w), so the probabilities of a history add up to at most one but for false positives. Exact counts of
-single words come from an exchange: blocks of documents ask buckets of words for the counts of just the words they hold.
+Scoring. The filter grows with the corpus, so no worker can be sent all of it. Documents are dealt to blocks of about
+``BLOCK_BYTES`` of text; each block sends its distinct n-grams to the buckets, where the bucket's filter is, and they are
+probed level after level until one is missing; levels go back to the block that asked. Nothing passes the driver but sums.
+The lower edge of an n-gram's level stands for its count, the upper edge for the count of a history of two words:
 
-Words are compared by 64-bit hashes, pairs by a bucket and 48 more bits.
+    P(w | h) = (count(h, w) + MU * P(w | h without its first word)) / (count(h) + MU)
+
+ending at the base model's P(w) (a text's first token has no history of two words), with exact counts of single words from the same exchange. ``MU`` of each order is the
+value at which the mass given to the shorter history, on average over all training tokens, is the share of n-grams seen
+once (the Good-Turing estimate of the unseen). The probabilities of a history add up to at most one but for false
+positives and histories of three and more words, which share their level's upper edge.
+
+Words are compared by 64-bit hashes, n-grams by a bucket and 32 more bits; the filters' false positives
+(about one in a hundred for each level) are the larger error.
 
 Defined cases: a null or empty text is the closing token alone; without training rows all counts are 0 and only the
-smoothing is left; repeated rows count and score as often as they occur; null ids are held in training; other columns are
-not read; texts are used whole.
+smoothing is left; a bucket without n-grams has an empty filter; repeated rows count and score as often as they occur;
+null ids are held in training; other columns are not read; texts are used whole.
 """
 
 from __future__ import annotations
 
+import dataclasses
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -31,16 +38,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talus.llm.common import materialize, partitions
+from talus.llm.common import block_count, materialize
 
-MIN_COUNT, BASE, LEVELS = 2, 2.0, 30
-BITS, HASHES = 12, 6
-MAX_PART = 256 << 20
-MU = 1000.0
+ORDER = 3
+BITS, HASHES = 10, 6
 ADD = 0.1
-FLUSH = 4_000_000
+FLUSH = 2_000_000
+BLOCK_BYTES = 8 << 20
+#: Blocks for each bucket of n-grams.
+SHARE = 2
 END = b""  # no word is empty
 
+#: The least count of each level from 1 on; level 0 is unseen.
+EDGES = np.unique(np.concatenate(([0], np.ceil(1.5 ** np.arange(60))))).astype(np.int64)
+LAST = np.append(EDGES[1:] - 1, EDGES[-1])
+LEVELS = len(EDGES)
+
 _U = np.uint64
 _END_HASH = xxhash.xxh3_64_intdigest(END)
 
@@ -55,16 +68,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(before * _U(0x9E3779B97F4A7C15) + word)
+def padded(text: str | None) -> list[bytes]:
+    """A text's tokens after as many closing tokens as the longest history has."""
+    return [END] * (ORDER - 1) + tokens(text)
+
+
+def grams(h: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the n-grams of 2 to ORDER words that end at each place; texts are padded."""
+    out, g = [], h
+    for k in range(2, ORDER + 1):
+        before = np.full_like(g, _END_HASH)
+        before[1:] = g[:-1]
+        g = mix(before * _U(0x9E3779B97F4A7C15) + h + _U(k))
+        out.append(g)
+    return out
+
+
+def real_places(sizes: list[int]) -> np.ndarray:
+    """The places of tokens that are no padding, for padded texts of these sizes."""
+    real = np.ones(sum(sizes), bool)
+    starts = np.cumsum([0, *sizes[:-1]])
+    for k in range(ORDER - 1):
+        real[starts + k] = False
+    return real
 
 
-def histories(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The word before each word; texts begin after a closing token."""
-    before = np.empty_like(hashes)
-    before[1:] = hashes[:-1]
-    before[starts] = _END_HASH
-    return before
+def keyed(g: np.ndarray, n: int) -> np.ndarray:
+    """N-grams as numbers that sort by bucket: bucket and 32 bits."""
+    return ((g >> _U(32)) % _U(n)) << _U(32) | (g & _U(0xFFFFFFFF))
+
+
+def by_bucket(keys: np.ndarray, n: int) -> np.ndarray:
+    """Where the buckets begin in sorted keys."""
+    return np.searchsorted(keys, np.arange(n + 1, dtype=_U) << _U(32))
 
 
 class Hasher:
@@ -83,121 +119,140 @@ class Hasher:
         return np.fromiter(map(memo.__getitem__, words), _U, len(words))
 
 
-def count_pairs(n: int):
-    """A task's pairs as rows (bucket, low, mid, times): packed 32 and 16 bits of the hashes, and counts."""
-    out = pa.schema([("bucket", pa.int32()), ("low", pa.binary()), ("mid", pa.binary()), ("times", pa.binary())])
+COUNTED = pa.schema([("bucket", pa.int32()), ("n_words", pa.int32()), ("grams", pa.binary()), ("times", pa.binary())])
+
+
+def count_grams(n: int):
+    """A task's n-grams as rows (bucket, n_words, grams, times): 32 bits of each hash, and its count."""
 
-    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        pairs, times = np.unique(np.concatenate(held), return_counts=True)
-        bucket = (pairs >> _U(48)) % _U(n)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(n + 1, dtype=_U))
-        for k in range(n):
-            at = order[cuts[k] : cuts[k + 1]]
-            if len(at):
-                low, mid = pairs[at].astype("<u4"), (pairs[at] >> _U(32)).astype("<u2")
-                row = [[k], [low.tobytes()], [mid.tobytes()], [times[at].astype("<u4").tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, out)], schema=out)
+    def flush(held: list[np.ndarray], sizes: list[int]) -> Iterator[pa.RecordBatch]:
+        real = real_places(sizes)
+        for k, g in enumerate(grams(np.concatenate(held)), 2):
+            keys, times = np.unique(keyed(g[real], n), return_counts=True)
+            cuts = by_bucket(keys, n)
+            for b in np.flatnonzero(np.diff(cuts)):
+                at = slice(cuts[b], cuts[b + 1])
+                row = [[b], [k], [keys[at].astype("<u4").tobytes()], [times[at].astype("<u4").tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, COUNTED)], schema=COUNTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, size = Hasher(), [], 0
+        hasher, held, sizes, size = Hasher(), [], [], 0
         for batch in batches:
             for text in batch.column("text"):
-                h = hasher(tokens(text.as_py()))
-                held.append(pair_hash(histories(h, np.zeros(1, int)), h))
+                h = hasher(padded(text.as_py()))
+                held.append(h)
+                sizes.append(len(h))
                 size += len(h)
                 if size > FLUSH:
-                    yield from flush(held)
-                    held, size = [], 0
+                    yield from flush(held, sizes)
+                    held, sizes, size = [], [], 0
         if held:
-            yield from flush(held)
+            yield from flush(held, sizes)
 
     return run
 
 
-def probes(pairs: np.ndarray, level: int, bits: np.ndarray) -> Iterator[np.ndarray]:
-    """Places of a level's entries in filters of ``bits`` bits."""
-    x = mix((pairs & _U(0xFFFFFFFFFFFF)) + _U(level * 0xD6E8FEB86659FD93 % 2**64))
+def probes(keys: np.ndarray, level: int, size: int) -> Iterator[np.ndarray]:
+    """Places of a level's entries in a filter of ``size`` bits."""
+    x = mix((keys & _U(0xFFFFFFFF)) + _U(level * 0xD6E8FEB86659FD93 % 2**64))
     y = mix(x) | _U(1)
     for k in range(HASHES):
-        yield (x + _U(k) * y) % bits
-
-
-def build_bucket(table: pa.Table) -> pa.Table:
-    """One bucket's filter from its packed pairs."""
-    low, mid, times = (
-        np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("low", "<u4"), ("mid", "<u2"), ("times", "<u4"))
-    )
-    pairs, which = np.unique((mid.astype(_U) << _U(32)) | low, return_inverse=True)
-    counts = np.bincount(which, weights=times).astype(np.int64)
-    often = counts >= MIN_COUNT
-    pairs, counts = pairs[often], counts[often]
-    level = np.minimum(1 + np.floor(np.log(counts / MIN_COUNT) / np.log(BASE) + 1e-9).astype(int), LEVELS)
-    size = max(64, -(-int(level.sum()) * BITS // 64) * 64)
+        yield ((x + _U(k) * y) % _U(size)).astype(np.int64)
+
+
+def build_filter(keys: np.ndarray, counts: np.ndarray, room: int = BITS) -> bytes:
+    """The filter of distinct n-grams with their counts, with ``room`` bits for each entry."""
+    level = np.searchsorted(EDGES, counts, side="right") - 1
+    size = max(64, -(-int(level.sum()) * room // 64) * 64)
     bits = np.zeros(size, bool)
     for k in range(1, int(level.max(initial=0)) + 1):
-        some = pairs[level >= k]
-        for at in probes(some, k, np.full(len(some), size, _U)):
-            bits[at.astype(np.int64)] = True
+        some = keys[level >= k]
+        for at in probes(some, k, size):
+            bits[at] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def probe(filt: bytes, keys: np.ndarray) -> np.ndarray:
+    """The level of each n-gram: level after level is asked for until one is missing."""
+    bits = np.frombuffer(filt, np.uint8)
+    level, left = np.zeros(len(keys), np.uint8), np.arange(len(keys))
+    for k in range(1, LEVELS):
+        hit = np.ones(len(left), bool)
+        for at in probes(keys[left], k, 8 * len(bits)):
+            hit &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+        left = left[hit]
+        if not len(left):
+            break
+        level[left] = k
+    return level
+
+
+def histogram(counts: np.ndarray) -> np.ndarray:
+    """How many counts each level has, and their sum."""
+    level = np.searchsorted(EDGES, counts, side="right") - 1
+    return np.stack([np.bincount(level, minlength=LEVELS), np.bincount(level, counts, LEVELS).astype(np.int64)]).astype("<i8")
+
+
+def build_bucket(table: pa.Table, room: int = BITS) -> pa.Table:
+    """One bucket's filters, one for each number of words, with the histogram of their counts."""
+    rows = {k: ([np.empty(0, "<u4")], [np.empty(0, "<u4")]) for k in range(2, ORDER + 1)}
+    for k, g, t in zip(*(table.column(c).to_pylist() for c in ("n_words", "grams", "times"))):
+        if g:
+            rows[k][0].append(np.frombuffer(g, "<u4"))
+            rows[k][1].append(np.frombuffer(t, "<u4"))
+    out: dict[str, list] = {"filters": [], "histogram": []}
+    for k in rows:
+        keys, which = np.unique(np.concatenate(rows[k][0]), return_inverse=True)
+        counts = np.bincount(which, weights=np.concatenate(rows[k][1]), minlength=len(keys)).astype(np.int64)
+        out["filters"].append(build_filter(keys.astype(_U), counts, room))
+        out["histogram"].extend(histogram(counts).ravel().tolist())
     return pa.table({
         "bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()),
-        "filter": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()),
-        "size": pa.array([size // 8], pa.int64()),
+        "filters": pa.array([out["filters"]], pa.list_(pa.binary())),
+        "histogram": pa.array([out["histogram"]], pa.list_(pa.int64())),
     })
 
 
-class Part:
-    """The filters of some buckets, side by side."""
-
-    def __init__(self, n: int, filters: dict[int, bytes]):
-        self.bits = np.zeros(n, _U)
-        self.start = np.zeros(n, np.int64)
-        at, joined = 0, []
-        for k, blob in filters.items():
-            self.bits[k], self.start[k] = 8 * len(blob), at
-            joined.append(blob)
-            at += len(blob)
-        self.bytes = np.frombuffer(b"".join(joined), np.uint8)
-
-    def counts(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each pair belongs to this part, and the lower edge of its count."""
-        bucket = ((pairs >> _U(48)) % _U(len(self.bits))).astype(np.int64)
-        mine = self.bits[bucket] > 0
-        level = np.zeros(len(pairs), np.int64)
-        left = np.flatnonzero(mine)
-        for k in range(1, LEVELS + 1):
-            for_hash = probes(pairs[left], k, self.bits[bucket[left]])
-            hit = np.ones(len(left), bool)
-            for at in for_hash:
-                at = at.astype(np.int64)
-                hit[hit] = (self.bytes[self.start[bucket[left[hit]]] + (at[hit] >> 3)] >> (at[hit] & 7)) & 1 > 0
-            left = left[hit]
-            if not len(left):
-                break
-            level[left] = k
-        return mine, np.where(level > 0, MIN_COUNT * BASE ** (level - 1), 0.0)
-
-
-def train(docs: DataFrame) -> DataFrame:
-    """Rows (bucket, filter, size) from the texts of ``docs``, written once."""
-    n = min(partitions(docs.sparkSession), 1 << 16)
-    packed = docs.select("text").mapInArrow(count_pairs(n), "bucket int, low binary, mid binary, times binary")
-    return materialize(packed.groupBy("bucket").applyInArrow(build_bucket, "bucket int, filter binary, size long"), "filters")
-
-
-def parts(filters: DataFrame, n: int) -> Iterator[Part]:
-    """The filter in parts of at most MAX_PART bytes (or one bucket); one part is on the driver at a time."""
-    sizes = sorted((r["bucket"], r["size"]) for r in filters.select("bucket", "size").collect())
-    groups, room = [[]], MAX_PART
-    for bucket, size in sizes:
-        if size > room and groups[-1]:
-            groups.append([])
-            room = MAX_PART
-        groups[-1].append(bucket)
-        room -= size
-    for group in groups:
-        got = filters.where(F.col("bucket").isin(group)).collect() if group else []
-        yield Part(n, {r["bucket"]: bytes(r["filter"]) for r in got})
+@dataclasses.dataclass
+class Model:
+    """The filters (a table: bucket, filters), how many buckets there are, and the histogram of counts for each order."""
+
+    filters: DataFrame
+    buckets: int
+    histograms: np.ndarray
+
+
+def train(docs: DataFrame, room: int = BITS) -> Model:
+    """Count and enter the n-grams of the texts of ``docs``; the filters are written once."""
+    spark = docs.sparkSession
+    n = -(-block_count(docs, BLOCK_BYTES) // SHARE)
+    packed = docs.select("text").mapInArrow(count_grams(n), "bucket int, n_words int, grams binary, times binary")
+    empty = spark.range(n).select(F.col("id").cast("int").alias("bucket"), F.lit(2).alias("n_words"), F.lit(b"").alias("grams"), F.lit(b"").alias("times"))
+    built = packed.unionByName(empty).groupBy("bucket").applyInArrow(lambda table: build_bucket(table, room), "bucket int, filters array<binary>, histogram array<long>")
+    built = materialize(built, "filters")
+    # sums over all buckets: 2 * LEVELS numbers for each order
+    sums = built.select(F.posexplode("histogram")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
+    found = np.zeros((ORDER - 1) * 2 * LEVELS)
+    for row in sums:
+        found[row["pos"]] = row["n"]
+    return Model(built.select("bucket", "filters"), n, found.reshape(ORDER - 1, 2, LEVELS))
+
+
+def smoothing(histories: np.ndarray, once: float) -> float:
+    """MU, from the histogram of the histories' counts and the number of n-grams seen once."""
+    n, total = histories
+    some = n > 0
+    n, total = n[some], total[some]
+    every = total.sum()
+    if not every:
+        return 1.0
+    wanted, mean = min(max(once / every, 1e-6), 0.999), total / n
+    low, high = -7.0, 21.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        mu = np.exp(middle)
+        low, high = (middle, high) if (total * mu / (mean + mu)).sum() / every < wanted else (low, middle)
+    return float(np.exp(low))
 
 
 def ordered(words: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,101 +263,124 @@ def ordered(words: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return h[order], order, np.searchsorted(bucket[order], np.arange(n + 1, dtype=_U))
 
 
-def score(docs: DataFrame, filters: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, held_out): the contract's columns."""
-    spark = docs.sparkSession
-    n = partitions(spark)
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
-    blocked = docs.select("doc_id", "text", "held_out", block.alias("_block")).repartition(n, "_block")
-    asked = pa.schema([("bucket", pa.int32()), ("_block", pa.int32()), ("hashes", pa.binary()), ("times", pa.binary())])
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each block's distinct words and their counts in its training texts, for every bucket."""
-        found: dict[int, dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
-        for batch in batches:
-            for text, block, held in zip(*(batch.column(c).to_pylist() for c in ("text", "_block", "held_out"))):
-                mine, add = found[block], int(not held)
-                for w in tokens(text):
-                    mine[w] += add
-        for block, counts in found.items():
-            hashes, order, cuts = ordered(list(counts), n)
-            times = np.fromiter(counts.values(), np.int64, len(counts))[order]
-            for k in range(n):
-                row = [[k], [block], [hashes[cuts[k] : cuts[k + 1]].tobytes()], [times[cuts[k] : cuts[k + 1]].astype("<u4").tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, asked)], schema=asked)
-
-    def answer(table: pa.Table) -> pa.Table:
-        """A bucket's sums, for each block in the order it asked, with the bucket's tokens and distinct tokens."""
-        hashes = [np.frombuffer(x, _U) for x in table.column("hashes").to_pylist()]
-        times = np.frombuffer(b"".join(table.column("times").to_pylist()), "<u4")
-        _, which = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.bincount(which, weights=times).astype(np.int64)
-        cuts = np.cumsum([0, *map(len, hashes)])
-        back = [total[which[a:b]].astype("<i8").tobytes() for a, b in zip(cuts, cuts[1:])]
-        rows = len(back)
-        return pa.table({
-            "bucket": table.column("bucket"), "_block": table.column("_block"), "counts": pa.array(back, pa.binary()),
-            "all": pa.array([int(total.sum())] * rows, pa.int64()), "distinct": pa.array([int((total > 0).sum())] * rows, pa.int64()),
-        })
-
-    kind = docs.schema["doc_id"].dataType
-    fields = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("_score", T.DoubleType()), ("n_pairs", T.LongType())]
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType()), T.StructField("_text", T.LongType()), *(T.StructField(*f) for f in fields)])
-
-    def finish_with(part):
-        def finish(rows: pa.Table, answers: pa.Table) -> pa.Table:
-            filt = part.value
-            number: dict[bytes, int] = defaultdict(lambda: len(number))
-            ids = [np.fromiter((number[w] for w in tokens(x.as_py())), np.int64) for x in rows.column("text")]
-            hashes, order, cuts = ordered(list(number), n)
-            count, word = np.zeros(len(number), np.int64), np.empty(len(number), _U)
-            word[order] = hashes
-            for k, blob in zip(answers.column("bucket").to_pylist(), answers.column("counts").to_pylist()):
-                count[order[cuts[k] : cuts[k + 1]]] = np.frombuffer(blob, "<i8")
-            all_, distinct = sum(answers.column("all").to_pylist()), sum(answers.column("distinct").to_pylist())
-            p = (count + ADD) / (all_ + ADD * (distinct + 1))
-            out: dict[str, list] = defaultdict(list)
-            lo = 0
-            while lo < len(ids):  # some texts at a time
-                hi, size = lo, 0
-                while hi < len(ids) and (size == 0 or size + len(ids[hi]) < 300_000):
-                    size += len(ids[hi])
-                    hi += 1
-                at = np.concatenate(ids[lo:hi])
-                starts = np.cumsum([0, *(len(x) for x in ids[lo : hi - 1])])
-                h = word[at]
-                c_before = np.empty(len(at), np.int64)
-                c_before[1:] = count[at[:-1]]
-                c_before[starts] = count[number[END]]
-                mine, seen = filt.counts(pair_hash(histories(h, starts), h))
-                logs = np.where(mine, np.log10((np.minimum(seen, c_before) + MU * p[at]) / (c_before + MU)), 0.0)
-                for name, x in (("_score", logs), ("base_score", np.log10(p[at])), ("n_known", (count[at] > 0).astype(np.int64)), ("n_pairs", (seen > 0).astype(np.int64)), ("n_tokens", np.ones(len(at), np.int64))):
-                    out[name].extend(np.add.reduceat(x, starts).tolist())
-                lo = hi
-            out["train_tokens"] = [all_] * len(ids)
-            text = pa.array([xxhash.xxh3_64_intdigest(x.as_py() or "") >> 1 for x in rows.column("text")], pa.int64())
-            kinds = {"base_score": pa.float64(), "_score": pa.float64()}
-            cols = {"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "_text": text}
-            return pa.table(cols | {name: pa.array(out[name], kinds.get(name, pa.int64())) for name, _ in fields})
-
-        return finish
-
-    answers = blocked.mapInArrow(ask, "bucket int, _block int, hashes binary, times binary")
-    answers = answers.groupBy("bucket").applyInArrow(answer, "bucket int, _block int, counts binary, all long, distinct long")
-    made = []
-    for filt in parts(filters, n):
-        shared = spark.sparkContext.broadcast(filt)  # at most MAX_PART bytes
-        made.append(blocked.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(finish_with(shared), schema))
-    if len(made) == 1:
-        return made[0].withColumnRenamed("_score", "score").drop("_text")
-    # equal rows have equal sums in every part: add the parts up once, then repeat the row
-    joined = made[0]
-    for other in made[1:]:
-        joined = joined.unionByName(other)
-    same = ["doc_id", "held_out", "_text", "n_tokens", "n_known", "train_tokens", "base_score"]
-    times = F.count("*") / len(made)
-    joined = joined.groupBy(*same).agg((F.sum("_score") / times).alias("score"), (F.sum("n_pairs") / times).cast("long").alias("n_pairs"), times.cast("int").alias("_n"))
-    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), "_n"))).drop("_n", "_text")
+class Block:
+    """The distinct words and n-grams of a block's texts."""
+
+    def __init__(self, texts: list[str | None], n: int):
+        number: dict[bytes, int] = defaultdict(lambda: len(number))
+        number[END]
+        ids = [np.fromiter((number[w] for w in padded(x)), np.int64) for x in texts]
+        self.sizes = [len(x) for x in ids]
+        self.at = np.concatenate(ids)
+        self.real = real_places(self.sizes)
+        self.hashes, self.order, self.cuts = ordered(list(number), n)
+        word = np.empty(len(number), _U)
+        word[self.order] = self.hashes
+        self.keys, self.which, self.gram_cuts = [], [], []
+        for g in grams(word[self.at]):
+            keys, which = np.unique(keyed(g[self.real], n), return_inverse=True)
+            self.keys.append(keys)
+            self.which.append(which)
+            self.gram_cuts.append(by_bucket(keys, n))
+
+    def times(self, counts: np.ndarray) -> np.ndarray:
+        """How often each word occurs in texts that count, in the order of ``hashes``."""
+        weight = np.repeat(counts, self.sizes)
+        found = np.bincount(self.at[self.real], weights=weight[self.real], minlength=len(self.order))
+        return found[self.order].astype("<u4")
+
+
+GRAMS = [f"grams{k}" for k in range(2, ORDER + 1)]
+ASKED = pa.schema([("bucket", pa.int32()), ("_block", pa.int32()), ("hashes", pa.binary()), ("times", pa.binary()), *((c, pa.binary()) for c in GRAMS)])
+ANSWERED = pa.schema([("bucket", pa.int32()), ("_block", pa.int32()), ("counts", pa.binary()), ("histogram", pa.binary()), ("distinct", pa.int64()), *((c, pa.binary()) for c in GRAMS)])
+
+
+def ask(n: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """A block's distinct words, their counts in its training texts, and its distinct n-grams, for every bucket."""
+        block = Block(rows.column("text").to_pylist(), n)
+        times = block.times(np.array([not x for x in rows.column("held_out").to_pylist()], float))
+        cut = lambda x, cuts: [x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+        lists = [list(range(n)), [rows.column("_block")[0].as_py()] * n, cut(block.hashes, block.cuts), cut(times, block.cuts)]
+        lists += [cut(keys.astype("<u4"), cuts) for keys, cuts in zip(block.keys, block.gram_cuts)]
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(lists, ASKED)], schema=ASKED)
+
+    return run
+
+
+def answer(asked: pa.Table, model: pa.Table) -> pa.Table:
+    """A bucket's word counts and the levels of n-grams, for each block in the order it asked."""
+    if not asked.num_rows:
+        return ANSWERED.empty_table()
+    hashes = [np.frombuffer(x, _U) for x in asked.column("hashes").to_pylist()]
+    times = np.frombuffer(b"".join(asked.column("times").to_pylist()), "<u4")
+    words, which = np.unique(np.concatenate(hashes), return_inverse=True)
+    total = np.bincount(which, weights=times, minlength=len(words)).astype(np.int64)
+    cuts = np.cumsum([0, *map(len, hashes)])
+    rows = asked.num_rows
+    lists = [asked.column("bucket").to_pylist(), asked.column("_block").to_pylist(), [total[which[a:b]].astype("<i8").tobytes() for a, b in zip(cuts, cuts[1:])]]
+    lists += [[histogram(total).tobytes()] * rows, [int((total > 0).sum())] * rows]
+    for filt, c in zip(model.column("filters")[0].as_py(), GRAMS):
+        lists.append([probe(filt, np.frombuffer(x, "<u4").astype(_U)).tobytes() for x in asked.column(c).to_pylist()])
+    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(lists, ANSWERED)], schema=ANSWERED)
+
+
+WHOLE = ("n_tokens", "n_known", "train_tokens")
+MORE = ("n_pairs", "n_triples", "n_again")
+
+
+def finish(n: int, histograms: np.ndarray):
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return rows.select(["doc_id", "held_out"]).append_column("n_tokens", pa.array([], pa.int64()))
+        answers = answers.sort_by("bucket")
+        block = Block(rows.column("text").to_pylist(), n)
+        count = np.empty(len(block.order), np.int64)
+        count[block.order] = np.frombuffer(b"".join(answers.column("counts").to_pylist()), "<i8")
+        words = sum(np.frombuffer(x, "<i8") for x in answers.column("histogram").to_pylist()).reshape(2, LEVELS)
+        all_, distinct = int(words[1].sum()), sum(answers.column("distinct").to_pylist())
+        at = block.at
+        base = ((count + ADD) / (all_ + ADD * (distinct + 1)))[at]
+        p, before, tables = base, count[at], [words, *histograms]
+        found = {"base_score": np.log10(base), "n_known": count[at] > 0, "n_tokens": np.ones(len(at))}
+        levels = []
+        for k, (c, which) in enumerate(zip(GRAMS, block.which)):
+            level = np.zeros(len(at), np.int64)
+            level[block.real] = np.frombuffer(b"".join(answers.column(c).to_pylist()), np.uint8)[which]
+            mu = smoothing(tables[k], histograms[k][0][1])
+            history = np.concatenate(([0], before[:-1]))
+            p = (np.minimum(EDGES[level], history) + mu * p) / (history + mu)
+            before = LAST[level] * (level > 0)
+            levels.append(level)
+        found |= {"score": np.log10(p), "n_pairs": levels[0] > 0, "n_triples": levels[-1] > 0, "n_again": levels[-1] > 1}
+        starts = np.cumsum([0, *block.sizes[:-1]])
+        columns = {"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out")}
+        found["train_tokens"] = None
+        for c in (*WHOLE, "base_score", "score", *MORE):
+            if c == "train_tokens":
+                columns[c] = pa.array([all_] * rows.num_rows, pa.int64())
+                continue
+            x = np.add.reduceat(np.where(block.real, found[c], 0.0), starts)
+            columns[c] = pa.array(x, pa.float64()) if c in ("base_score", "score") else pa.array(x.astype(np.int64))
+        return pa.table(columns)
+
+    return run
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text, held_out): the contract's columns, and how many pairs and triples are known, and
+    triples known more than once."""
+    n = model.buckets
+    blocks = block_count(docs, BLOCK_BYTES)
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
+    blocked = docs.select("doc_id", "text", "held_out", block.alias("_block")).repartition(blocks, "_block")
+    names = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
+    ddl = lambda schema: ", ".join(f"{f.name} {names[f.type]}" for f in schema)
+    asked = blocked.groupBy("_block").applyInArrow(ask(n), ddl(ASKED))
+    answers = asked.groupBy("bucket").cogroup(model.filters.groupBy("bucket")).applyInArrow(answer, ddl(ANSWERED))
+    fields = [docs.schema["doc_id"], T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in WHOLE)]
+    fields += [T.StructField(c, T.DoubleType()) for c in ("base_score", "score")] + [T.StructField(c, T.LongType()) for c in MORE]
+    return blocked.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(finish(n, model.histograms), T.StructType(fields))
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

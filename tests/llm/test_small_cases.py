@@ -204,17 +204,62 @@ def test_lm_scoring(docs):
 
 def test_filter_keeps_levels():
     rng = np.random.default_rng(5)
-    pairs = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64))
-    times = rng.integers(1, 40, len(pairs))
-    import pyarrow as pa
-
-    low, mid = pairs.astype("<u4").tobytes(), (pairs >> np.uint64(32)).astype("<u2").tobytes()
-    one = pa.table({"bucket": pa.array([0], pa.int32()), "low": [low], "mid": [mid], "times": [times.astype("<u4").tobytes()]})
-    built = lm_scoring.build_bucket(one)
-    _, seen = lm_scoring.Part(1, {0: built.column("filter")[0].as_py()}).counts(pairs)
-    often = times >= 2
-    assert (seen[often] >= 2 ** np.floor(np.log2(times[often]))).all() and (seen[often] <= times[often]).mean() > 0.9
-    assert (seen[~often] == 0).mean() > 0.9
+    keys = np.unique(rng.integers(0, 1 << 32, 6000, dtype=np.uint64))
+    times = rng.integers(1, 40, 3000)
+    seen = lm_scoring.probe(lm_scoring.build_filter(keys[:3000], times), keys).astype(int)
+    exact = np.searchsorted(lm_scoring.EDGES, times, side="right") - 1
+    assert (seen[:3000] >= exact).all() and (seen[:3000] == exact).mean() > 0.97
+    assert (seen[3000:] == 0).mean() > 0.97
+    assert (lm_scoring.probe(lm_scoring.build_filter(keys[:0], times[:0]), keys) == 0).all()
+
+
+def lm_by_hand(rows):
+    """(base score, score) of each text with exact counts: the model without a filter."""
+    from collections import Counter
+
+    words, grams = Counter(), {2: Counter(), 3: Counter()}
+    for _, text, held in rows:
+        t = ["", "", *text.lower().split(), ""]
+        for i in range(2, len(t) if not held else 0):
+            words[t[i]] += 1
+            for k in grams:
+                grams[k][tuple(t[i - k + 1 : i + 1])] += 1
+    edge = lambda c: int(lm_scoring.EDGES[np.searchsorted(lm_scoring.EDGES, c, side="right") - 1])
+    last = lambda c: int(lm_scoring.LAST[np.searchsorted(lm_scoring.EDGES, c, side="right") - 1]) if c else 0
+    table = lambda c: lm_scoring.histogram(np.array(list(c.values()), np.int64))
+    mu = {2: lm_scoring.smoothing(table(words), sum(v == 1 for v in grams[2].values())), 3: lm_scoring.smoothing(table(grams[2]), sum(v == 1 for v in grams[3].values()))}
+    n, out = sum(words.values()), {}
+    for k, text, _ in rows:
+        t, base, score = ["", "", *text.lower().split(), ""], 0.0, 0.0
+        for i in range(2, len(t)):
+            p = (words[t[i]] + 0.1) / (n + 0.1 * (len(words) + 1))
+            base += np.log10(p)
+            for size, history in ((2, words[t[i - 1]]), (3, last(grams[2][tuple(t[i - 2 : i])]) if i > 2 else 0)):
+                p = (min(edge(grams[size][tuple(t[i - size + 1 : i + 1])]), history) + mu[size] * p) / (history + mu[size])
+            score += np.log10(p)
+        out[k] = (base, score)
+    return out
+
+
+@pytest.mark.parametrize("shuffle, block", [(1, 1 << 20), (8, 600), (64, 3000), (211, 200)])
+def test_lm_scores_by_brute_force(spark, monkeypatch, shuffle, block):
+    """Scores are those of exact counts (within false positives), whatever the partitions, blocks and buckets."""
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", block)
+    rng = np.random.default_rng(7)
+    rows = [(k, " ".join(f"w{x}" for x in rng.zipf(1.5, rng.integers(0, 40)) % 60), bool(k % 4 == 0)) for k in range(60)] + [(99, "unseen words only", True)]
+    rows += [(100, rows[1][1], False)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+        model = lm_scoring.train(docs.where("NOT held_out"), room=40)
+        got = {r.doc_id: r for r in lm_scoring.score(docs, model).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    hand = lm_by_hand(rows)
+    assert len(got) == len(rows) and (model.buckets > 1) == (block < 2000)
+    for k, (base, score) in hand.items():
+        assert abs(got[k].base_score - base) < 1e-6 * max(1, abs(base)) and abs(got[k].score - score) < 0.01 * max(1, abs(score))
 
 
 def test_language_id(docs):
