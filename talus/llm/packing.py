@@ -1,11 +1,12 @@
 """Operator 4: pack documents into sequences by a configuration linear program over the lengths.
 
 Documents are tokenized (every distinct word of the corpus once), cut at the sequence length, and only the histogram of
-piece lengths, at most ``LENGTH`` rows, goes to the driver. There the program over configurations (multisets of lengths
-that fit a sequence) is solved by multiplicative weights: a length's price falls as its share of covered pieces grows,
-a knapsack dynamic program finds the best configuration at the current prices, and it is taken a step further. The
-solution is kept integral as it grows (steps are rounded down); what it leaves goes by best fit into the free room, on the
-histogram as well. Pieces then learn their place from their rank among the pieces of their length.
+piece lengths, at most ``LENGTH`` rows, goes to the driver. There the fractional program over configurations (multisets of
+sizes that fit a sequence) is solved by multiplicative weights: a size's price falls as its share of covered pieces grows,
+and a knapsack dynamic program finds the best configuration at the current prices, until all need is covered. The
+solution is rounded by cumulative sums, its places are filled with real lengths, and what is left goes by best fit into the
+free room, on the histogram as well. The final prices give a lower bound on the sequences. Pieces then learn their place
+from their rank among the pieces of their length.
 
 Defined cases: a null or empty text is one piece with the closing id alone; an empty table gives an empty table;
 repeated rows and null ids are packed as any other; other columns are not read; texts are tokenized whole.
@@ -13,6 +14,7 @@ repeated rows and null ids are packed as any other; other columns are not read;
 
 from __future__ import annotations
 
+import dataclasses
 import os
 import re
 import zlib
@@ -30,8 +32,7 @@ from talus.llm.common import materialize, running_sum
 from talus.llm.word_values import value_words
 
 LENGTH, CLOSING_ID = 2048, 0
-#: The program stops when no length is open, or at a multiple of ROUNDS if the plan is within GAP of the lower bound.
-ROUNDS, STEP, RATE, GAP = 3000, 0.25, 0.3, 0.001
+STEP, RATE, GRID = 0.25, 0.3, 128
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -41,7 +42,7 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
 
 
 def best_configuration(price: np.ndarray) -> np.ndarray:
-    """Knapsack by dynamic programming: lengths (with repeats) of the best filling; ``price[l]`` is that of length l."""
+    """Knapsack by dynamic programming: sizes (with repeats) of the best filling; ``price[l]`` is that of size l."""
     size = len(price) - 1
     best, choice = np.zeros(size + 1), np.zeros(size + 1, np.int64)
     for room in range(1, size + 1):
@@ -61,49 +62,103 @@ def best_configuration(price: np.ndarray) -> np.ndarray:
 Plan = list[tuple[dict[int, int], int]]
 
 
-def solve(histogram: dict[int, int], size: int = LENGTH) -> Plan:
-    """Configurations with how often each is used; together they hold every piece exactly once.
+@dataclasses.dataclass
+class Solution:
+    """Configurations with how often each is used, which together hold every piece exactly once; a lower bound on the
+    sequences; pieces shorter than a sequence, and how many of them the program's configurations placed."""
 
-    Where few pieces share a length, rounding leaves nearly all to best fit; the better of both plans is returned.
+    plan: Plan
+    bound: int
+    pieces: int
+    placed: int
+
+
+def fractional(need: np.ndarray) -> tuple[dict[tuple, float], np.ndarray]:
+    """The configuration program over sizes 1 .. len(need) - 1, each needed ``need`` times: how much of each configuration
+    is taken, and the last prices.
+
+    Multiplicative weights: the price of a size is its length, which falls by a factor exp(-RATE * share) as the covered
+    share of its need grows; the best configuration at these prices is taken until it covers ``STEP`` of what its scarcest
+    size still needs. The program ends when no size needs half a piece.
     """
-    plans = [rounded_solution(histogram, size, rounds) for rounds in (ROUNDS, 0)]
-    return min(plans, key=lambda plan: sum(often for _, often in plan))
+    left, lengths, found = need.astype(float), np.arange(len(need)), defaultdict(float)
+    price = lengths.astype(float)
+    while (left >= 0.5).any():
+        share = 1 - left / np.maximum(need, 1)
+        price = np.where(left >= 0.5, lengths * np.exp(-RATE * share), -1.0)
+        items, times = np.unique(best_configuration(price), return_counts=True)
+        taken = (left[items] / times).min()
+        taken = taken if taken < 1 else max(1.0, STEP * taken)
+        found[tuple(np.repeat(items, times)[::-1].tolist())] += taken
+        left[items] -= taken * times
+    return found, lengths * np.exp(-RATE * (1 - left / np.maximum(need, 1)))
+
+
+def dual_bound(price: np.ndarray, need: np.ndarray) -> int:
+    """No packing has fewer sequences than the value of all pieces by that of the best configuration, at any prices."""
+    best = price[best_configuration(price)].sum()
+    return int(np.ceil(price @ need / best - 1e-6)) if best > 0 else 0
+
 
+def solve(histogram: dict[int, int], size: int = LENGTH) -> Solution:
+    """Pack pieces with the lengths of ``histogram`` into sequences of ``size``.
 
-def rounded_solution(histogram: dict[int, int], size: int, rounds: int) -> Plan:
+    For the program alone neighbouring lengths count as one size (``GRID`` sizes in all, a length is rounded to the nearest);
+    its configurations are rounded to whole numbers by cumulative sums and filled with real lengths.
+    """
     need = np.zeros(size + 1, np.int64)
     for length, n in histogram.items():
         need[length] = n
-    left, found = need.copy(), defaultdict(int)
-    found[((size, 1),)] += int(left[size])
+    left, lengths, unit = need.copy(), np.arange(size + 1), max(1, size // GRID)
+    made: list[tuple[dict[int, int], int]] = [({size: 1}, int(need[size]))] if need[size] else []
     left[size] = 0
-    lengths, open_ = np.arange(size + 1), left * STEP >= 1
-    bound, done = -(-sum(length * n for length, n in histogram.items()) // size), 0
-    while rounds and open_.any():
-        if done and done % rounds == 0:
-            plan = best_fit(found, left.copy(), size)
-            if sum(often for _, often in plan) <= bound * (1 + GAP):
-                return plan
-        done += 1
-        covered = 1 - left / np.maximum(need, 1)
-        price = np.where(open_, lengths * np.exp(-RATE * covered), -1.0)
-        items, times = np.unique(best_configuration(price), return_counts=True)
-        often = int(STEP * (left[items] / times).min())  # rounded down: what is left over goes by best fit
-        if often:
-            found[tuple(zip(items.tolist(), times.tolist()))] += often
-            left[items] -= often * times
-        else:
-            open_[items[(left[items] / times).argmin()]] = False
-        open_ &= left * STEP >= 1
-    return best_fit(found, left, size)
-
-
-def best_fit(found: dict[tuple, int], left: np.ndarray, size: int) -> Plan:
+    of = np.clip(np.rint(lengths / unit).astype(int), 1, size // unit)
+    units = np.bincount(of, left, size // unit + 1).astype(np.int64)
+    found, unit_price = fractional(units)
+    whole = np.diff(np.floor(np.cumsum([0.5, *found.values()]))).astype(int)
+    members = [[int(x) for x in np.flatnonzero(of == u) if left[x]] for u in range(len(units))]
+    pieces = int(left.sum())
+    for config, often in zip(found, whole.tolist()):
+        made.extend(filled(config, often, members, left, size, unit))
+    placed = pieces - int(left.sum())
+    price = np.interp(lengths / unit, np.arange(len(unit_price)), unit_price)
+    bound = max(dual_bound(price, need), -(-int(lengths @ need) // size))
+    return Solution(best_fit(made, left, size), bound, pieces, placed)
+
+
+def filled(config: tuple, often: int, members: list[list[int]], left: np.ndarray, size: int, unit: int) -> Plan:
+    """``often`` sequences of a configuration with real lengths, which are taken from ``left``.
+
+    Sizes are filled in falling order, in turn with their longest and shortest lengths, and the last with the longest length
+    that fits. A place without a length is left to best fit.
+    """
+    runs: list[list] = [[{}, often, size]] if often else []
+    for k, u in enumerate(config):
+        after = []
+        for items, n, room in runs:
+            if k == len(config) - 1:
+                order = range(room, max(0, min(room, members[u][0] if members[u] else room) - 2 * unit), -1)
+            else:
+                order = members[u] if k % 2 else members[u][::-1]
+            for length in order:
+                if not n:
+                    break
+                used = min(n, int(left[length])) if length <= room else 0
+                if used:
+                    left[length] -= used
+                    after.append([items | {length: items.get(length, 0) + 1}, used, room - length])
+                    n -= used
+            if n:
+                after.append([items, n, room])
+        runs = after
+    return [(items, n) for items, n, _ in runs if items]
+
+
+def best_fit(found: Plan, left: np.ndarray, size: int) -> Plan:
     """Put the pieces that are left into the free room of the configurations, by groups of equal sequences."""
     free: dict[int, list[list]] = defaultdict(list)
-    for items, often in found.items():
-        if often:
-            free[size - sum(length * n for length, n in items)].append([dict(items), often])
+    for items, often in found:
+        free[size - sum(length * n for length, n in items.items())].append([items, often])
     for length in range(size, 0, -1):
         while left[length]:
             room = next((r for r in range(length, size) if free[r]), None)
@@ -229,7 +284,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False)
     before, total = {}, 0
     for length in sorted(histogram):
         before[length], total = total, total + histogram[length]
-    table = places(solve(histogram))
+    table = places(solve(histogram).plan)
     # a row for each length of each configuration: bounded by the configurations and LENGTH, whatever the corpus
     shared = spark.sparkContext.broadcast((table, before))
     ranked = running_sum(pieces.withColumn("_one", F.lit(1)), ["length", "doc_id", "piece", "ids_crc32"], "_one", "_rank")

@@ -3,7 +3,8 @@
 Documents are dealt to blocks. Each block lists its distinct words; the lists go to buckets by the words' hash, where
 every word is valued once for the whole corpus; the values go back to the blocks that asked, and each block's documents
 are finished with its own small dictionary. Traffic is the blocks' distinct words, not their running words, and no task
-holds more than a block or a bucket. Blocks and buckets follow ``spark.sql.shuffle.partitions``.
+holds more than a block (about ``BLOCK_BYTES`` of text) or a bucket. Lists are as many rows as blocks times buckets, which is
+what a shuffle of as many map tasks and partitions moves.
 """
 
 from __future__ import annotations
@@ -17,7 +18,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talus.llm.common import partitions
+from talus.llm.common import block_count
+
+BLOCK_BYTES = 16 << 20
+#: Blocks for each bucket of words.
+SHARE = 2
 
 #: The words of a text in bytes.
 Split = Callable[[str | None], list[bytes]]
@@ -43,9 +48,10 @@ def value_words(docs: DataFrame, split: Split, stem: Callable, value: Callable,
     ``stem(word)`` gives what of a word is valued and the rest; ``value(stems)`` gives a list of byte strings for a
     bucket's distinct stems. ``finish(table, values)`` gets a block's rows and a dictionary from stem to value.
     """
-    n = partitions(docs.sparkSession)
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
-    blocked = docs.withColumn("_block", block).repartition(n, "_block")
+    blocks = block_count(docs, BLOCK_BYTES)
+    n = -(-blocks // SHARE)
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
+    blocked = docs.withColumn("_block", block).repartition(blocks, "_block")
     listed_schema = pa.schema([("_bucket", pa.int32()), ("_block", pa.int32()), ("words", pa.binary())])
 
     def list_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -181,7 +181,7 @@ def test_solver_is_near_the_bound():
     rng = np.random.default_rng(4)
     lengths = np.minimum(200, np.maximum(1, rng.lognormal(3.5, 0.9, 20_000).astype(int)))
     histogram = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True))))
-    plan = packing.solve(histogram, 200)
+    plan = packing.solve(histogram, 200).plan
     assert sum(n for _, n in plan) <= -(-int(lengths.sum()) // 200) * 1.01 + 1
     packed = {}
     for items, often in plan:
@@ -189,7 +189,7 @@ def test_solver_is_near_the_bound():
         for k, n in items.items():
             packed[k] = packed.get(k, 0) + n * often
     assert packed == histogram
-    assert packing.solve({}) == []
+    assert packing.solve({}).plan == []
 
 
 def test_lm_scoring(docs):

@@ -61,15 +61,56 @@ def test_tables_keep_all_text():
         assert "x" in text(hard)
 
 
-def test_packing_program_runs_until_it_converges(monkeypatch):
+def test_packing_program_beats_best_fit():
     histogram = {102: 6000, 54: 6000, 52: 6000, 46: 12_000}  # best fit alone needs 11,000 sequences, the bound is 9,000
-    monkeypatch.setattr(packing, "ROUNDS", 2)
-    plan = packing.solve(histogram, 200)
-    assert sum(often for _, often in plan) <= 9500
-    packed = {k: sum(items.get(k, 0) * often for items, often in plan) for k in histogram}
+    found = packing.solve(histogram, 200)
+    assert found.bound <= sum(often for _, often in found.plan) <= 9300 and found.placed > 0.9 * found.pieces
+    packed = {k: sum(items.get(k, 0) * often for items, often in found.plan) for k in histogram}
     assert packed == histogram
 
 
+def fewest(pieces, size):
+    """The least number of sequences, by trying all places."""
+    best = [len(pieces)]
+
+    def place(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(pieces):
+            best[0] = len(rooms)
+            return
+        for i in range(len(rooms)):
+            if rooms[i] >= pieces[k] and rooms[i] not in rooms[:i]:
+                place(k + 1, [*rooms[:i], rooms[i] - pieces[k], *rooms[i + 1 :]])
+        place(k + 1, [*rooms, size - pieces[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_small_packings_are_near_the_best_and_bounds_hold():
+    rng, more = np.random.default_rng(9), 0
+    for _ in range(60):
+        pieces = sorted(rng.integers(1, 41, rng.integers(1, 10)).tolist(), reverse=True)
+        found = packing.solve({k: pieces.count(k) for k in set(pieces)}, 40)
+        used, best = sum(often for _, often in found.plan), fewest(pieces, 40)
+        assert found.bound <= best <= used <= best + 1
+        more += used - best
+        packed = [k for items, often in found.plan for k, n in items.items() for _ in range(n * often)]
+        assert sorted(packed, reverse=True) == pieces and all(sum(k * n for k, n in items.items()) <= 40 for items, _ in found.plan)
+    assert more <= 6
+
+
+@pytest.mark.parametrize("n", [1000, 10_000, 1_000_000])
+def test_the_program_places_most_pieces(n):
+    rng = np.random.default_rng(10)
+    lengths = np.minimum(2048, np.maximum(1, rng.lognormal(6, 1.1, n).astype(int)))
+    found = packing.solve(dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)))))
+    used = sum(often for _, often in found.plan)
+    print(n, "used", used, "bound", found.bound, "placed", found.placed / found.pieces)
+    assert used <= found.bound * 1.005 + 1 and found.placed > 0.5 * found.pieces
+
+
 def test_near_copies_by_the_thousand(spark, monkeypatch):
     """A group far larger than a node or a block: links and classes equal brute force."""
     from talus.llm import jaccard_join
