@@ -189,7 +189,7 @@ def weak_labels(rows: np.ndarray, good: bool) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field | None:
     """Fit the field, or None where one of the two kinds of documents is missing."""
-    marks = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    marks = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     picked = None
     for kind in (0, 1):
         some = marks.where(F.col("quality") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -204,7 +204,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field | N
                 "doc_id": batch["doc_id"], "quality": batch["quality"], "rows": [x.astype(np.int16).tobytes() for x in rows],
             })
 
-    got = found.mapInPandas(run, "doc_id long, quality int, rows binary").toPandas().sort_values("doc_id")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    got = found.mapInPandas(run, f"doc_id {kind}, quality int, rows binary").toPandas().sort_values("doc_id")
     texts = [np.frombuffer(x, np.int16).reshape(-1, len(WIDTHS)).astype(np.int64) for x in got["rows"]]
     kept = [(x, weak_labels(x, q == 1)) for x, q in zip(texts, got["quality"]) if len(x)]
     if len({q for x, q in zip(texts, got["quality"]) if len(x)}) < 2:

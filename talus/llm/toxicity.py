@@ -1,14 +1,17 @@
 """Operator 5: toxicity of texts after noisy-channel deobfuscation.
 
-A word that mixes letters with digits or symbols, repeats letters, or is spelled out with spaces is a noisy form of an
-intended word. Its characters form a lattice: each stands for itself, for the letters it imitates, or for nothing (a
-separator, a repeat). Viterbi decoding finds the most likely intended spelling under the channel's costs and a character
-trigram model counted over all texts. Words without such signs have one path only and pass as they are.
+A word that mixes letters with digits or symbols, or doubles letters at two places or more, is a noisy form of an intended
+word; so is a run of short fragments that may be one or more words spelled out with spaces. The characters form a lattice:
+each stands for itself, for the letters it imitates, or for nothing (a separator, a repeat); a space between fragments ends
+a word or stands for nothing. Viterbi decoding finds the most likely intended spelling under the channel's costs and a
+character trigram model counted over all texts, word ends included. Words of any length are decoded. A run enters the
+lattice if two of its fragments are single characters, or if a cue could be read across its spaces (no other reading
+could change a score).
 
 The restored words are scored: log-odds of whole words and of their first four to eight letters, learned from at most
 ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` labelled documents (chosen by a hash of the id) on one half of them; a logistic
-regression on a text's strongest word and the sum of its strong words is fitted on the other half. At most
-``MAX_CUES`` cues are kept. Character counts cover all rows.
+regression on a text's strongest word and the sum of its strong words is fitted on the other half. Words restored from a
+run are scored from each of their letters on, as their beginning is uncertain. Character counts cover all rows.
 
 Defined cases: null and empty texts score as a text without any cue; without labels of both kinds every score is 0;
 texts are used whole; repeated rows score alike; other columns are not read unless named in ``keep``.
@@ -29,7 +32,7 @@ from pyspark.sql import types as T
 
 from talus.llm.common import filter_texts, map_texts, materialize
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, MAX_CUES, MIN_SUPPORT = 4000, 12000, 50_000, 4
+SAMPLE_TOXIC, SAMPLE_CLEAN, MIN_SUPPORT = 4000, 12000, 4
 THRESHOLD = 0.7
 STRONG, CLIP, SURE = 2.0, 5.0, 1.28
 PREFIXES = (4, 5, 6, 7, 8)
@@ -42,6 +45,11 @@ IMITATES = {
 }
 SEPARATORS = frozenset(".-_*'~,/\\|^`\"+=:;· ")
 COST_SELF_ODD, COST_IMITATE, COST_DROP, COST_REPEAT, COST_KEEP_SEPARATOR = 6.0, 0.7, 0.5, 0.7, 4.0
+#: A space that stands for nothing, by how many of its neighbours are longer than one character.
+COST_JOIN = (0.3, 1.2, 2.0)
+#: The longest fragment of a run.
+FRAGMENT = 4
+MARKS = ".,;:?\"'[]{}«»…"
 
 #: Character classes of the language model: 0 boundary, 1-26 letters, 27 other letters, 28 digits, 29 the rest.
 N_CLASSES = 30
@@ -82,63 +90,94 @@ class Decoder:
         self.log = np.log(tri / tri.sum(2, keepdims=True)).tolist()
 
     def restore(self, word: str) -> str:
-        """The most likely intended spelling of one noisy, lower-case word."""
+        """The most likely intended spelling of one noisy, lower-case word or run of fragments."""
         log = self.log
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        before = ""
-        for c in word:
-            k = char_class(c)
-            letter = 1 <= k <= 27
-            options: list[tuple[str, float]] = []
-            if letter:
-                options.append((c, 0.0))
-                if c == before and (c * 3) in word:
-                    options.append(("", COST_REPEAT))
-            else:
-                options.extend((x, COST_IMITATE) for x in IMITATES.get(c, ""))
-                if c in SEPARATORS:
-                    options.append(("", COST_DROP))
-                options.append((c, COST_KEEP_SEPARATOR if c in SEPARATORS else COST_SELF_ODD))
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (x, y), (cost, text) in states.items():
-                for out, price in options:
+        states: dict[tuple[int, int], float] = {(0, 0): 0.0}
+        back: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []
+        for options in lattice(word):
+            after: dict[tuple[int, int], float] = {}
+            came: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+            for state, cost in states.items():
+                x, y = state
+                for out, price, z in options:
                     if out:
-                        z = char_class(out)
                         key, total = (y, z), cost + price - log[x][y][z]
                     else:
-                        key, total = (x, y), cost + price
-                    if key not in after or total < after[key][0]:
-                        after[key] = (total, text + out)
-            states, before = after, c
-        return min((cost - log[x][y][0], text) for (x, y), (cost, text) in states.items())[1]
-
-    def words(self, text: str) -> Iterator[str]:
-        """The words of a text, lower case, with spelled-out runs of four or more characters joined as well."""
-        words = text.lower().split()
-        yield from words
-        run: list[str] = []
-        for w in words if any(len(w) == 1 for w in words) else ():
-            if len(w) == 1:
-                run.append(w)
-            else:
-                if len(run) > 3:
-                    yield "".join(run)
-                run = []
-        if len(run) > 3:
-            yield "".join(run)
+                        key, total = state, cost + price
+                    if key not in after or total < after[key]:
+                        after[key] = total
+                        came[key] = (state, out)
+            states = after
+            back.append(came)
+        state = min(states, key=lambda k: states[k] - log[k[0]][k[1]][0])
+        found = []
+        for came in reversed(back):
+            state, out = came[state]
+            found.append(out)
+        return "".join(reversed(found))
+
+    def runs(self, words: list[str], readable=None) -> Iterator[str]:
+        """Words restored from runs of short fragments, which are not words of the text as it stands.
+
+        ``readable(fragments)`` tells whether a run without single characters is worth decoding.
+        """
+        for run in short_runs(words):
+            if sum(len(w) == 1 for w in run) > 1 or (readable is not None and readable(run)):
+                for w in self.restore(" ".join(run)).split():
+                    w = "".join(c for c in w if c.isalpha())
+                    if len(w) > 3 and w not in run:
+                        yield w
 
     def clean(self, word: str) -> str:
         """A word as it is scored: stripped of marks at its ends, restored if it looks noisy."""
-        bare = word.strip(".,;:!?\"'()[]{}«»…")
-        if bare.isalpha() and not _tripled(bare):
+        bare = word.strip(MARKS + "!()")
+        if bare.isalpha() and not repeats(bare):
             return bare
-        if not any(map(str.isalpha, bare)) or len(bare) > 40:
+        if not any(map(str.isalpha, bare)):
             return bare
-        return "".join(c for c in self.restore(word.strip(".,;:?\"'[]{}«»…")) if c.isalpha())
-
-
-def _tripled(word: str) -> bool:
-    return any(a == b == c for a, b, c in zip(word, word[1:], word[2:]))
+        return "".join(c for c in self.restore(word.strip(MARKS)) if c.isalpha())
+
+
+def lattice(word: str) -> Iterator[list[tuple[str, float, int]]]:
+    """What each character can stand for: output (may be empty), price and class of the output."""
+    again, before = repeats(word), ""
+    for k, c in enumerate(word):
+        kind = char_class(c)
+        options: list[tuple[str, float, int]] = []
+        if c == " ":
+            longer = int(k > 1 and word[k - 2] != " ") + int(k + 2 < len(word) and word[k + 2] != " ")
+            options = [(" ", 0.0, 0), ("", COST_JOIN[longer], 0)]
+        elif 1 <= kind <= 27:
+            options.append((c, 0.0, kind))
+            if c == before and again:
+                options.append(("", COST_REPEAT, 0))
+        else:
+            options.extend((x, COST_IMITATE, char_class(x)) for x in IMITATES.get(c, ""))
+            if c in SEPARATORS:
+                options.append(("", COST_DROP, 0))
+            options.append((c, COST_KEEP_SEPARATOR if c in SEPARATORS else COST_SELF_ODD, kind))
+        yield options
+        before = c
+
+
+def repeats(word: str) -> bool:
+    """Whether a letter stands three times in a row, or letters are doubled at two places or more."""
+    doubled = sum(a == b for a, b in zip(word, word[1:]))
+    return doubled > 1
+
+
+def short_runs(words: list[str]) -> Iterator[list[str]]:
+    """Two or more short fragments in a row."""
+    run: list[str] = []
+    for w in words:
+        if len(w) <= FRAGMENT:
+            run.append(w)
+            continue
+        if len(run) > 1:
+            yield run
+        run = []
+    if len(run) > 1:
+        yield run
 
 
 def cues(word: str) -> set[str]:
@@ -152,6 +191,10 @@ class Scorer:
     def __init__(self, decoder: Decoder, odds: dict[str, float], weights=(0.0, 0.0, 0.0), usable=True):
         self.decoder, self.odds, self.weights, self.usable = decoder, odds, weights, usable
         self.memo: dict[str, float] = {}
+        self.starts = {c[1:5] for c in odds}
+
+    def best(self, word: str) -> float:
+        return max((self.odds.get(c, 0.0) for c in cues(word)), default=0.0)
 
     def word(self, word: str) -> float:
         found = self.memo.get(word)
@@ -159,11 +202,28 @@ class Scorer:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             clean = self.decoder.clean(word)
-            found = self.memo[word] = max((self.odds.get(c, 0.0) for c in cues(clean)), default=0.0) if clean else 0.0
+            found = self.memo[word] = self.best(clean) if clean else 0.0
         return found
 
+    def readable(self, run: list[str]) -> bool:
+        """Whether a cue's first letters can be read across a space of a run."""
+        joined = "".join(run)
+        if len(joined) < 4:
+            return False
+        starts, at = self.starts, 0
+        for w in run[:-1]:
+            at += len(w)
+            for k in range(max(0, at - 3), at):
+                if joined[k : k + 4] in starts:
+                    return True
+        return False
+
     def evidence(self, text: str | None) -> tuple[float, float]:
-        strong = [s for s in map(self.word, set(self.decoder.words(text or ""))) if s > STRONG]
+        words = (text or "").lower().split()
+        found = {w: self.word(w) for w in set(words)}
+        for w in self.decoder.runs(words, self.readable):
+            found[w] = max(found.get(w, 0.0), *(self.best(w[k:]) for k in range(len(w) - 3)))
+        strong = [s for s in found.values() if s > STRONG]
         return max(strong, default=0.0) / CLIP, min(sum(strong), 3 * CLIP) / CLIP
 
     def score(self, text: str | None) -> float:
@@ -199,7 +259,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     """Learn from ``docs`` that have a label; the caller leaves out rows that are held out."""
     decoder = learn_characters(docs)
     spark = docs.sparkSession
-    marks = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marks = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marks = marks.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     picked = None
     for kind, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
@@ -218,7 +278,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
             for batch in batches:
                 for text in batch["text"]:
                     each: set[str] = set()
-                    for w in set(map(decoder.clean, set(decoder.words(text)))):
+                    words = text.lower().split()
+                    for w in {*map(decoder.clean, set(words)), *decoder.runs(words)}:
                         each |= cues(w) if w else set()
                     found.update(each if wanted is None else each & wanted)
             if found:
@@ -229,7 +290,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     part = sample.where("half").repartition(min(64, 2 * spark.sparkContext.defaultParallelism), "doc_id")
     toxic = part.where("toxic = 1").select("text").mapInPandas(counter(None), "cue string, n long")
     toxic = toxic.groupBy("cue").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_SUPPORT)
-    seen = {r["cue"]: r["n"] for r in toxic.orderBy(F.desc("n"), "cue").limit(MAX_CUES).collect()}
+    # bounded by the words of the sample
+    seen = {r["cue"]: r["n"] for r in toxic.collect()}
     clean = part.where("toxic = 0").select("text").mapInPandas(counter(set(seen)), "cue string, n long")
     other = {r["cue"]: r["n"] for r in clean.groupBy("cue").agg(F.sum("n").alias("n")).collect()}
     n1, n0 = size[1, True], size[0, True]
@@ -259,7 +321,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
 
 def score(docs: DataFrame, scorer: Scorer, keep=("doc_id",)) -> DataFrame:
     """``keep`` columns with score and predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)  # at most MAX_CUES cues and 27,000 floats
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)  # cues of the bounded sample and 27,000 floats
     fields = {"score": (T.DoubleType(), pa.float64()), "predicted": (T.IntegerType(), pa.int32())}
 
     def run(texts: list[str | None]) -> tuple[list[float], list[int]]:
@@ -276,8 +338,12 @@ def clean_documents(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
 
 def restore_texts(docs: DataFrame, decoder: Decoder) -> DataFrame:
-    """doc_id and restored: the words of each text as they are scored, spelled-out runs included."""
-    restore = lambda text: " ".join(map(decoder.clean, decoder.words(text or "")))
+    """doc_id and restored: the words of each text as they are scored, and those restored from runs after them."""
+
+    def restore(text: str | None) -> str:
+        words = (text or "").lower().split()
+        return " ".join([*map(decoder.clean, words), *decoder.runs(words)])
+
     return map_texts(docs, ["doc_id"], lambda texts: [list(map(restore, texts))], {"restored": (T.StringType(), pa.string())})
 
 

@@ -109,12 +109,44 @@ def test_toxicity(docs, labels):
 
 
 def test_restoring(spark):
-    plain = "the clown and the idiot met a moron stupid trash pathetic " * 50
+    plain = "the clown and the idiot met a moron stupid trash pathetic you are an " * 50
     decoder = toxicity.learn_characters(spark.createDataFrame([(plain,)], "text string"))
-    for noisy, meant in (("1d10t", "idiot"), ("m0r0n", "moron"), ("i.d.i.o.t", "idiot"), ("idiooot", "idiot"), ("cl0wn", "clown"), ("$tup1d", "stupid")):
+    for noisy, meant in (("1d10t", "idiot"), ("m0r0n", "moron"), ("i.d.i.o.t", "idiot"), ("idiooot", "idiot"), ("iddiiot", "idiot"), ("cl0wn", "clown"), ("$tup1d", "stupid")):
         assert decoder.clean(noisy) == meant
-    assert "idiot" in list(decoder.words("an i d i o t here"))
-    assert decoder.clean("2024") == "2024"
+    long = "stupididiotmoronclowntrash" * 3
+    assert decoder.clean(".".join(long)) == long
+    assert decoder.clean("2024") == "2024" and len(decoder.clean("x" * 100_000)) <= 100_000
+    restored = lambda text: " ".join(decoder.runs(text.split(), lambda run: True))
+    assert restored("pathetic an i d i o t met") == "idiot"
+    assert restored("s t u p i d i d i o t").replace(" ", "") == "stupididiot" and "idiot" in restored("an id iot met")
+    assert restored("y o u i d i o t m o r o n").replace(" ", "").endswith("idiotmoron")
+    scorer = toxicity.Scorer(decoder, {"=idiot": 5.0, "^idio": 5.0, "=moron": 4.0})
+    for text in ("you are a i d i o t", "s t u p i d i d i o t", "what an id iot he", "1 d 1 0 t", "i.d.i.o.t", "an iddiiot"):
+        assert scorer.evidence(text)[0] == 1.0, text
+    assert scorer.evidence("the clown met an old man in a hat")[0] == 0.0
+
+
+def test_decoding_by_brute_force(spark):
+    import itertools
+
+    plain = "the clown and the idiot met a moron stupid trash pathetic you are an " * 50
+    decoder = toxicity.learn_characters(spark.createDataFrame([(plain,)], "text string"))
+    rng = np.random.default_rng(13)
+    for _ in range(200):
+        word = "".join(rng.choice(list("idot1.0@s  aa!")) for _ in range(rng.integers(1, 9))).strip() or "i"
+
+        def cost(choice):
+            x, y, total = 0, 0, 0.0
+            for out, price, z in choice:
+                total += price
+                if out:
+                    total, x, y = total - decoder.log[x][y][z], y, z
+            return total - decoder.log[x][y][0]
+
+        best = min(itertools.product(*toxicity.lattice(word)), key=cost)
+        found = decoder.restore(word)
+        same = [c for c in itertools.product(*toxicity.lattice(word)) if "".join(o for o, _, _ in c) == found]
+        assert abs(min(map(cost, same)) - cost(best)) < 1e-9
 
 
 def test_jaccard_join(spark, docs):
