@@ -20,6 +20,7 @@ texts are used whole; repeated rows score alike; other columns are not read unle
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -121,8 +122,8 @@ class Decoder:
 
         ``readable(fragments)`` tells whether a run without single characters is worth decoding.
         """
-        for run in short_runs(words):
-            if sum(len(w) == 1 for w in run) > 1 or (readable is not None and readable(run)):
+        for run, single in short_runs(words):
+            if single > 1 or (readable is not None and readable(run)):
                 for w in self.restore(" ".join(run)).split():
                     w = "".join(c for c in w if c.isalpha())
                     if len(w) > 3 and w not in run:
@@ -138,46 +139,61 @@ class Decoder:
         return "".join(c for c in self.restore(word.strip(MARKS)) if c.isalpha())
 
 
-def lattice(word: str) -> Iterator[list[tuple[str, float, int]]]:
-    """What each character can stand for: output (may be empty), price and class of the output."""
-    again, before = repeats(word), ""
+Option = tuple[str, float, int]
+
+
+def readings(c: str, repeated: bool) -> list[Option]:
+    """What a character other than a space can stand for: output (may be empty), price and class of the output."""
+    kind = char_class(c)
+    if 1 <= kind <= 27:
+        return [(c, 0.0, kind), *([("", COST_REPEAT, 0)] if repeated else [])]
+    options: list[Option] = [(x, COST_IMITATE, char_class(x)) for x in IMITATES.get(c, "")]
+    if c in SEPARATORS:
+        options.append(("", COST_DROP, 0))
+    return [*options, (c, COST_KEEP_SEPARATOR if c in SEPARATORS else COST_SELF_ODD, kind)]
+
+
+_KNOWN: dict[tuple[str, bool], list[Option]] = {(chr(c), r): readings(chr(c), r) for c in range(33, 256) for r in (False, True)}
+
+
+def lattice(word: str) -> list[list[Option]]:
+    """The readings of each character of a word or run."""
+    again, before, out = repeats(word), "", []
     for k, c in enumerate(word):
-        kind = char_class(c)
-        options: list[tuple[str, float, int]] = []
         if c == " ":
             longer = int(k > 1 and word[k - 2] != " ") + int(k + 2 < len(word) and word[k + 2] != " ")
-            options = [(" ", 0.0, 0), ("", COST_JOIN[longer], 0)]
-        elif 1 <= kind <= 27:
-            options.append((c, 0.0, kind))
-            if c == before and again:
-                options.append(("", COST_REPEAT, 0))
+            out.append([(" ", 0.0, 0), ("", COST_JOIN[longer], 0)])
         else:
-            options.extend((x, COST_IMITATE, char_class(x)) for x in IMITATES.get(c, ""))
-            if c in SEPARATORS:
-                options.append(("", COST_DROP, 0))
-            options.append((c, COST_KEEP_SEPARATOR if c in SEPARATORS else COST_SELF_ODD, kind))
-        yield options
+            key = (c, again and c == before)
+            out.append(_KNOWN.get(key) or readings(*key))
         before = c
+    return out
+
+
+_DOUBLED = re.compile(r"(.)(?=\1)", re.S)
 
 
 def repeats(word: str) -> bool:
     """Whether a letter stands three times in a row, or letters are doubled at two places or more."""
-    doubled = sum(a == b for a, b in zip(word, word[1:]))
-    return doubled > 1
+    first = _DOUBLED.search(word)
+    return first is not None and _DOUBLED.search(word, first.end()) is not None
 
 
-def short_runs(words: list[str]) -> Iterator[list[str]]:
-    """Two or more short fragments in a row."""
+def short_runs(words: list[str]) -> Iterator[tuple[list[str], int]]:
+    """Two or more short fragments in a row, and how many of them are single characters."""
     run: list[str] = []
+    single = 0
     for w in words:
-        if len(w) <= FRAGMENT:
+        n = len(w)
+        if n <= FRAGMENT:
             run.append(w)
-            continue
-        if len(run) > 1:
-            yield run
-        run = []
+            single += n == 1
+        elif run:
+            if len(run) > 1:
+                yield run, single
+            run, single = [], 0
     if len(run) > 1:
-        yield run
+        yield run, single
 
 
 def cues(word: str) -> set[str]:
@@ -194,15 +210,15 @@ class Scorer:
         self.starts = {c[1:5] for c in odds}
 
     def best(self, word: str) -> float:
+        if word[:4] not in self.starts:
+            return 0.0
         return max((self.odds.get(c, 0.0) for c in cues(word)), default=0.0)
 
     def word(self, word: str) -> float:
-        found = self.memo.get(word)
-        if found is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            clean = self.decoder.clean(word)
-            found = self.memo[word] = self.best(clean) if clean else 0.0
+        if len(self.memo) >= MEMO:
+            self.memo.clear()
+        clean = self.decoder.clean(word)
+        found = self.memo[word] = self.best(clean) if clean else 0.0
         return found
 
     def readable(self, run: list[str]) -> bool:
@@ -220,7 +236,13 @@ class Scorer:
 
     def evidence(self, text: str | None) -> tuple[float, float]:
         words = (text or "").lower().split()
-        found = {w: self.word(w) for w in set(words)}
+        known, found = self.memo, {}
+        for w in set(words):
+            s = known.get(w)
+            if s is None:
+                s = self.word(w)
+            if s:
+                found[w] = s
         for w in self.decoder.runs(words, self.readable):
             found[w] = max(found.get(w, 0.0), *(self.best(w[k:]) for k in range(len(w) - 3)))
         strong = [s for s in found.values() if s > STRONG]
