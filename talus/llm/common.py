@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -118,3 +120,28 @@ def filter_texts(docs: DataFrame, keeps: Callable[[list[str | None]], list[bool]
             yield batch.filter(pa.array(keeps(batch.column("text").to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def gathered(rows: DataFrame, *by: str) -> DataFrame:
+    """Equal ``by`` columns side by side in one task."""
+    return rows.repartition(partitions(rows.sparkSession), *by).sortWithinPartitions(*by)
+
+
+def in_groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """Runs of rows with equal ``by`` columns, from batches that are sorted by them, of bounded size each."""
+    held: pd.DataFrame | None = None
+    for batch in batches:
+        if held is not None:
+            batch = pd.concat([held, batch], ignore_index=True)
+        if not len(batch):
+            continue
+        new = np.zeros(len(batch), bool)
+        for c in by:
+            x = batch[c].to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist()]
+        for lo, hi in zip(cuts, cuts[1:]):
+            yield batch.iloc[lo:hi]
+        held = batch.iloc[cuts[-1] :]
+    if held is not None and len(held):
+        yield held

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talus.llm.common import discard, free_name, map_texts, materialize, partitions
+from talus.llm.common import discard, free_name, gathered, in_groups, map_texts, materialize
 from talus.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -144,26 +144,6 @@ def next_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"node": nodes} | {c: part[c].to_numpy()[row] for c in ("key", "minima", "label")})
 
 
-def in_groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
-    """Runs of rows with equal ``by`` columns, from batches that are sorted by them, of bounded size each."""
-    held: pd.DataFrame | None = None
-    for batch in batches:
-        if held is not None:
-            batch = pd.concat([held, batch], ignore_index=True)
-        if not len(batch):
-            continue
-        new = np.zeros(len(batch), bool)
-        for c in by:
-            x = batch[c].to_numpy()
-            new[1:] |= x[1:] != x[:-1]
-        cuts = [0, *np.flatnonzero(new).tolist()]
-        for lo, hi in zip(cuts, cuts[1:]):
-            yield batch.iloc[lo:hi]
-        held = batch.iloc[cuts[-1] :]
-    if held is not None and len(held):
-        yield held
-
-
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest member of each of ``n`` things' component under links (a, b)."""
     root = np.arange(n)
@@ -320,11 +300,6 @@ def exact_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield count_links(blocks[0], blocks[1] if len(blocks) > 1 else None)
 
 
-def gathered(rows: DataFrame, *by: str) -> DataFrame:
-    """Equal ``by`` columns side by side in one task."""
-    return rows.repartition(partitions(rows.sparkSession), *by).sortWithinPartitions(*by)
-
-
 def candidates(sets: DataFrame) -> DataFrame:
     """Edges (a, b) between keys: a spanning forest of each candidate group, some edges repeated. ``sets`` has key, nodes, minima."""
     first = sets.select("key", "nodes").mapInPandas(first_level, "node long, key binary")

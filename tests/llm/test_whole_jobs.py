@@ -25,6 +25,33 @@ def test_rescaled_copies_are_found(spark, size, least):
     assert len(right) >= least and wrong == 0
 
 
+@pytest.mark.parametrize("kind, least", [("crop", 28), ("turn", 18), ("scale", 24), ("noise", 26)])
+def test_recall_by_edit(spark, kind, least):
+    """Heavier crops, a turn by 30 degrees, a scale of 0.7, noise: how many of 30 are found, and no wrong pair."""
+    rng = np.random.default_rng(21)
+    pictures = [image_copies.draw(rng.normal(size=64)) for _ in range(30)]
+    edits = {
+        "crop": lambda x: x[16:, :50], "turn": lambda x: image_copies.turned(x, 30)[8:-8, 8:-8],
+        "scale": lambda x: image_copies.resized(image_copies.blur(x), 0.7), "noise": lambda x: x + rng.normal(0, 3, x.shape),
+    }
+    right, wrong = found_copies(spark, pictures, [image_copies.encode(edits[kind](image_copies.decode(p))) for p in pictures])
+    print("edit", kind, "found", len(right), "of 30, wrong", wrong)
+    assert len(right) >= least and wrong == 0
+
+
+def test_bad_vectors_and_empty_tables_of_images(spark, tmp_path):
+    rng = np.random.default_rng(22)
+    good = [float(x) for x in rng.normal(size=64)]
+    rows = [(20, good), (21, good), (40, [None] * 64), (60, [float("nan")] * 63 + [float("inf")]), (80, []), (100, None), (120, [1.0]), (None, good), (140, [0.0] * 9), (160, good * 40)]
+    schema = "vec_id long, embedding array<float>, label int, image string, corner long, data string"
+    table = spark.createDataFrame([(*r, 1, "i", 1, "d") for r in rows], schema)
+    table.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = image_copies.op3_image_copies(spark, str(tmp_path)).collect()
+    assert {(r.query_id, r.match_id, r.members) for r in got} >= {(20, 20, 3)} and {r.query_id for r in got} <= {20, 160}
+    table.limit(0).write.parquet(str(tmp_path / "none" / "embeddings.parquet"))
+    assert image_copies.op3_image_copies(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_one_picture_stands_for_equal_ones(spark):
     rows = [(k, bytes([k // 3])) for k in range(9)] + [(None, b"\0"), (5, b"\0")]
     images, members = image_copies.distinct_images(spark.createDataFrame(rows, "id long, data binary").repartition(3))
@@ -44,7 +71,7 @@ def test_all_near_corners_meet(spark, monkeypatch):
     for rows in (bits, asked):
         h = np.packbits(rows, axis=1).view("<i8").tolist()
         sides.append(spark.createDataFrame([(n, 0, 0.0, 0.0, 0.0, 1.0, *x) for n, x in enumerate(h)], "image long, corner int, x float, y float, angle float, scale float, low long, high long"))
-    found = image_copies.matches(*sides).select("q.image", F.col("i.image").alias("other")).collect()
+    found = image_copies.matches(*sides).select("query", "image").collect()
     assert len(found) == len(set(found)) and {tuple(r) for r in found} == wanted
 
 
