@@ -48,3 +48,9 @@ def word_tokens(text: Column, least: int = 3) -> Column:
 
 def minutes_since_midnight(ts: Column) -> Column:
     return F.hour(ts) * 60 + F.minute(ts)
+
+
+def nearby_bins(x: Column, width: int, first: int, last: int) -> Column:
+    """The bin of ``width`` that holds ``x`` and its neighbours from ``first`` to ``last``, a row each."""
+    own = F.floor(x / width)
+    return F.explode(F.array(*(own + k for k in range(first, last + 1))))

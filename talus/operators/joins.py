@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talus.functions import nearby_bins
 from talus.sources import table
 
 
@@ -24,12 +25,18 @@ def semi_exists_flag(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tolerance_anti(spark: SparkSession, d: str) -> DataFrame:
-    """Purchases without a click of the same user within ten minutes: an equality for the hash, a range for the rest."""
-    events = table(spark, d, "events")
-    buys, clicks = (events.where(F.col("event_type") == k).select("event_id", "user_id", "ts") for k in ("purchase", "click"))
-    clicks = clicks.select(F.col("user_id").alias("u"), F.col("ts").alias("t"))
-    near = (F.col("user_id") == F.col("u")) & (F.abs(F.timestamp_diff("MICROSECOND", F.col("t"), F.col("ts"))) <= 600_000_000)
-    return buys.join(clicks, near, "left_anti").select("event_id", "user_id")
+    """Purchases without a click of the same user within ten minutes: users and ten-minute bins meet, the range is a filter.
+
+    A purchase looks into three bins; it stays if none of them holds a click near enough.
+    """
+    events, width = table(spark, d, "events"), 600_000_000
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    buys, clicks = (events.where(F.col("event_type") == k).select("event_id", "user_id", at.alias("t")) for k in ("purchase", "click"))
+    clicks = clicks.select(F.col("user_id").alias("u"), F.col("t").alias("v"), F.floor(F.col("t") / width).alias("b"))
+    looks = buys.withColumn("bin", nearby_bins(F.col("t"), width, -1, 1))
+    near = (F.col("user_id") == F.col("u")) & (F.col("bin") == F.col("b")) & (F.abs(F.col("t") - F.col("v")) <= width)
+    found = looks.join(clicks, near, "left_semi").select("event_id").distinct()
+    return buys.join(found, "event_id", "left_anti").select("event_id", "user_id")
 
 
 def or_join_top1(spark: SparkSession, d: str) -> DataFrame:

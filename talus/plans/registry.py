@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.operators import aggregates, joins, windows
+from talus.operators import aggregates, joins, lookups, measures, search, windows
 
 
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +25,9 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"pricing_summary": pricing_summary} | joins.QUERIES | aggregates.QUERIES | windows.QUERIES
-SQL = joins.SQL | aggregates.SQL | windows.SQL | {
+MODULES = (joins, aggregates, windows, lookups, measures, search)
+QUERIES = {"pricing_summary": pricing_summary} | {k: q for m in MODULES for k, q in m.QUERIES.items()}
+SQL = {k: q for m in MODULES for k, q in m.SQL.items()} | {
     "pricing_summary": """
 SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty,
        round(sum(l_extendedprice), 2) AS sum_base_price,
