@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import functools
+import hashlib
+import io
+import re
+import zipfile
+from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,21 +37,153 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
-    """Rows of both, the latest by ``order`` for each key; one shuffle by the key."""
-    both = old.unionByName(new, allowMissingColumns=True)
-    latest = Window.partitionBy(*key).orderBy(F.col(order).desc_nulls_last())
-    return both.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n")
+    """Rows of both, the latest by ``order`` for each key; one shuffle by the key.
+
+    At equal ``order`` a row of ``new`` wins, and among several the one that is last in the order of its other values.
+    """
+    mark = "_source"
+    both = old.withColumn(mark, F.lit(0)).unionByName(new.withColumn(mark, F.lit(1)), allowMissingColumns=True)
+    rest = [c for c in both.columns if c not in (*key, order, mark)]
+    columns = [c for c in both.columns if c not in (*key, mark)]
+    best = F.struct(F.col(order).isNotNull().alias("_has"), F.col(order).alias("_at"), mark, *(F.col(c).alias(f"_{k}") for k, c in enumerate(rest)))
+    picked = both.groupBy(*key).agg(F.max_by(F.struct(*columns), best).alias("_row"))
+    return picked.select(*key, "_row.*").select(*(c for c in both.columns if c != mark))
 
 
 def insert_missing(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """``old`` and those rows of ``new`` whose key it lacks."""
-    return old.unionByName(new.join(old.select(*key), key, "left_anti"), allowMissingColumns=True)
+    """``old`` and those rows of ``new`` whose key it lacks, one row for a key that ``new`` repeats."""
+    missing = new.join(old.select(*key), key, "left_anti").dropDuplicates(key)
+    return old.unionByName(missing.select(*new.columns), allowMissingColumns=True)
 
 
 def sync_children(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Three-way sync: matched rows take the new values, new ones are added, missing ones stay but inactive."""
+    """Three-way sync: matched rows take the new values, new ones are added, missing ones stay but inactive.
+
+    Columns that only ``old`` has are kept. ``new`` must hold a key once; a repeated key of it is taken once.
+    """
     values = [c for c in new.columns if c != key]
-    a, b = old.drop("active").alias("a"), new.withColumn("_here", F.lit(True)).alias("b")
+    only_old = [c for c in old.columns if c not in (key, "active", *values)]
+    a, b = old.drop("active").alias("a"), new.dropDuplicates([key]).withColumn("_here", F.lit(True)).alias("b")
     joined = a.join(b, key, "full_outer")
-    picked = [F.when(F.col("_here"), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in values]
-    return joined.select(key, *picked, F.coalesce("_here", F.lit(False)).alias("active"))
+    old_has = set(old.columns)
+    picked = [F.when(F.col("_here"), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}") if c in old_has else F.lit(None)).alias(c) for c in values]
+    return joined.select(key, *picked, *(F.col(f"a.{c}") for c in only_old), F.coalesce("_here", F.lit(False)).alias("active"))
+
+
+def query_batch(spark: SparkSession, statements: dict[str, str], views: dict[str, DataFrame] | None = None, **params) -> dict[str, DataFrame]:
+    """Several queries by name, none of them run yet."""
+    return {name: query(spark, sql, views, **params) for name, sql in statements.items()}
+
+
+def first_row(df: DataFrame) -> dict | None:
+    row = df.head()
+    return None if row is None else row.asDict(recursive=True)
+
+
+def changed(df: DataFrame, where: Column, **values) -> tuple[DataFrame, int]:
+    """The table after an update, and the number of rows it changes; the caller writes it over the partition it read."""
+    hit = F.coalesce(where, F.lit(False))
+    picked = [F.when(hit, F.lit(values[c])).otherwise(F.col(c)).cast(df.schema[c].dataType).alias(c) if c in values else F.col(c) for c in df.columns]
+    return df.select(*picked), df.where(hit).count()
+
+
+def jdbc_table(spark: SparkSession, url: str, name: str, split: tuple[str, int, int, int] | None = None, **options) -> DataFrame:
+    """A database table; ``split`` (column, least, most, parts) reads it in ranges, and filters go to the database."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
+    if split:
+        column, least, most, parts = split
+        reader = reader.options(partitionColumn=column, lowerBound=least, upperBound=most, numPartitions=parts)
+    return reader.load()
+
+
+def replace_all(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").parquet(path)
+
+
+def ordered_children(parents: DataFrame, key: str, children: str) -> DataFrame:
+    """The rows of an array column, numbered from 0: what is written in place of a parent's former children."""
+    return parents.select(key, F.posexplode(children).alias("position", "child"))
+
+
+def cached_version(make: Callable[[], DataFrame], folder: str, *versions: str) -> DataFrame:
+    """A result kept under the hash of its versions: read if it is there whole, else made and written."""
+    spark = SparkSession.active()
+    name = hashlib.sha256("\x00".join(versions).encode()).hexdigest()
+    path = f"{folder.rstrip('/')}/{name}"
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        make().write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+
+_CELL = re.compile(r"([A-Z]+)([0-9]+)")
+
+
+def _sheets(content: bytes) -> Iterator[tuple[str, list[list[str]]]]:
+    """Names and rows of a workbook's sheets; cells without a row are kept, trailing blanks and empty rows are not."""
+    local = lambda e: e.tag.rsplit("}", 1)[-1]
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        names = set(book.namelist())
+        read = lambda name: ElementTree.fromstring(book.read(name))
+        text = lambda e: "".join(t.text or "" for t in e.iter() if local(t) == "t")
+        shared = [text(e) for e in read("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in names else []
+        targets = {e.get("Id"): e.get("Target") for e in read("xl/_rels/workbook.xml.rels")}
+        for sheet in (e for e in read("xl/workbook.xml").iter() if local(e) == "sheet"):
+            link = next(v for k, v in sheet.attrib.items() if k.endswith("}id"))
+            target = targets[link].lstrip("/")
+            rows: list[list[str]] = []
+            for row in (e for e in read(target if target.startswith("xl/") else f"xl/{target}").iter() if local(e) == "row"):
+                cells: list[str] = []
+                for cell in row:
+                    at = _CELL.fullmatch(cell.get("r", ""))
+                    column = functools.reduce(lambda n, c: n * 26 + ord(c) - 64, at[1], 0) - 1 if at else len(cells)
+                    value = next((e.text or "" for e in cell if local(e) == "v"), "")
+                    kind = cell.get("t")
+                    value = shared[int(value)] if kind == "s" and value else text(cell) if kind == "inlineStr" else value
+                    cells.extend([""] * (column - len(cells)))
+                    cells.append(value.strip())
+                while cells and not cells[-1]:
+                    cells.pop()
+                if cells:
+                    rows.append(cells)
+            yield sheet.get("name", ""), rows
+
+
+def workbook_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of all sheets of the workbooks under ``path``: file, sheet, row, cells. A file that is no workbook has an ``error``."""
+    schema = "file string, sheet string, row long, cells array<string>, error string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file, content in zip(batch["path"], batch["content"]):
+                out = []
+                try:
+                    for sheet, rows in _sheets(content):
+                        out.extend((file, sheet, n, cells, None) for n, cells in enumerate(rows))
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, StopIteration, IndexError, ValueError) as e:
+                    out = [(file, None, None, None, type(e).__name__)]
+                if out:
+                    yield pd.DataFrame(out, columns=["file", "sheet", "row", "cells", "error"]).astype({"row": "Int64"})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
+    return files.select("path", "content").mapInPandas(run, schema)
+
+
+def with_header(rows: DataFrame, required: list[str]) -> DataFrame:
+    """The rows of each file's first sheet below its header, as columns of ``required`` names found by folded header text.
+
+    A file without one of them, or that is no workbook, has one row with an ``error``.
+    """
+    fold = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    first = rows.where("error IS NULL").groupBy("file").agg(F.min(F.struct("row", "sheet")).alias("h"))
+    sheets = rows.where("row = 0").select("file", "sheet", F.transform("cells", fold).alias("header"))
+    heads = sheets.join(first.select("file", F.col("h.sheet").alias("sheet")), ["file", "sheet"])
+    places = [F.array_position("header", fold(F.lit(c))) for c in required]
+    missing = F.array_compact(F.array(*(F.when(p == 0, F.lit(c)) for p, c in zip(places, required))))
+    heads = heads.select("file", "sheet", missing.alias("missing"), *(p.cast("int").alias(f"_{k}") for k, p in enumerate(places)))
+    body = rows.where("row > 0").join(heads.where(F.size("missing") == 0), ["file", "sheet"])
+    good = body.select("file", "row", *(F.nullif(F.try_element_at("cells", F.col(f"_{k}")), F.lit("")).alias(c) for k, c in enumerate(required)), F.lit(None).cast("string").alias("error"))
+    bad = heads.where(F.size("missing") > 0).select("file", F.concat(F.lit("missing: "), F.array_join("missing", ", ")).alias("error"))
+    bad = bad.unionByName(rows.where("error IS NOT NULL").select("file", "error"))
+    return good.unionByName(bad, allowMissingColumns=True)
