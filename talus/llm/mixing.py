@@ -6,7 +6,7 @@ target; all entries are sorted by it over all sources, and the sorted list is cu
 
 Defined cases: a null or empty text has size 0 and is never counted; a null source is a source of its own, last in
 order; an empty table gives an empty table; repeated rows are separate documents; columns other than doc_id, text and
-source are not read, so clashing names do no harm.
+source are read only where ``keep`` names them, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from talus.llm.common import WORD, materialize, running_sum
+from talus.llm.common import WORD, free_name, materialize, running_sum
 
 WEIGHTS, SHARE, MAX_PASSES, SEED = (5, 2, 1), 1.5, 2, "mix-1"
 
@@ -58,12 +58,13 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share=SHARE, max_passes=MA
 
 def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, max_passes=MAX_PASSES, seed=SEED, keep=()) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken, and the columns named in ``keep``."""
+    names, keep = list(keep), [f"_kept{k}" for k in range(len(keep))]
     sized = docs.select(
         "doc_id",
         F.col("source").alias("_source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_u"),
-        *keep,
+        *(F.col(f"`{c}`").alias(k) for c, k in zip(names, keep)),
     )
     sized = materialize(sized, "sized")
     sources = materialize(source_targets(sized, weights, share, max_passes), "sources")
@@ -99,29 +100,26 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, max_passes=MAX_PASSES, se
     )
     taken = F.when(F.col("size") > 0, taken).otherwise(0).cast("long")
     return ordered.crossJoin(F.broadcast(cut)).select(
-        "doc_id", "size", "source_size", "target", taken.alias("taken"), *keep
+        "doc_id", "size", "source_size", "target", taken.alias("taken"), *(F.col(k).alias(c) for c, k in zip(names, keep))
     )
 
 
 def mixed_documents(docs: DataFrame, **params) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken.
+    """The mix itself: each row of ``docs`` as often as it is taken, in the columns of ``docs`` (of any names).
 
     Equal rows are interchangeable, so they are joined back by all their columns' hash and repeated together.
     """
-    from functools import reduce
-
-    row = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in docs.columns])
-    keyed = docs.withColumn("_row", row)
-    taken = mix(keyed, keep=["_row"], **params).where("taken > 0")
-    times = taken.groupBy("doc_id", "_row").agg(F.sum(F.expr("taken div size")).alias("_times"))
-    times = times.withColumnRenamed("doc_id", "_id").withColumnRenamed("_row", "_r")
-    one = keyed.dropDuplicates(["doc_id", "_row"])
-    same = reduce(lambda a, b: a & b, [one["doc_id"].eqNullSafe(times["_id"]), one["_row"] == times["_r"]])
-    return (
-        one.join(times, same)
-        .withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-        .select(*docs.columns)
-    )
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    row, n = free_name(docs.columns, "_row"), free_name(docs.columns, "_n")
+    keyed = docs.withColumn(row, F.xxhash64(*(F.coalesce(c.cast("string"), F.lit("\x00")) for c in columns)))
+    taken = mix(keyed.select("doc_id", "text", "source", F.col(row).alias("_hash")), keep=["_hash"], **params).where("taken > 0")
+    times = taken.groupBy("doc_id", "_hash").agg(F.sum(F.expr("taken div size")).alias("_taken"))
+    # names that docs does not have
+    id_, hash_, times_ = (free_name(keyed.columns, c) for c in ("_mixed_id", "_mixed_row", "_mixed_times"))
+    times = times.toDF(id_, hash_, times_)
+    one = keyed.dropDuplicates(["doc_id", row])
+    same = one["doc_id"].eqNullSafe(times[id_]) & (one[row] == times[hash_])
+    return one.join(times, same).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(times_).cast("int")))).select(*columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

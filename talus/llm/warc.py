@@ -2,7 +2,8 @@
 
 ``write_monolithic`` writes one gzip stream over all records of a file. ``normalise`` inflates every such stream once, in
 bounded pieces, and rewrites each record as a gzip member of its own, with a sidecar of JSON lines that tell where it is.
-``read_records`` seeks to the members that an index names and parses them alone.
+``read_records`` seeks to the members that an index names and parses them alone. ``verified`` holds every record against its
+payload, and every revisit against the payload of the response it refers to.
 
 Archives and sidecars go to a folder that all executors share (under ``spark.checkpoint.dir``); a task writes under a
 temporary name and renames, so a task that runs again does no harm. A record is held in memory whole, a file is not
@@ -20,14 +21,14 @@ import json
 import posixpath
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm.common import partitions, scratch
+from talus.llm.common import materialize, partitions, scratch
 
 MIN_REVISIT, DATE, PIECE, LEVEL = 1000, "2024-01-01T00:00:00Z", 1 << 20, 6
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -95,21 +96,24 @@ def write_monolithic(pages: DataFrame, folder: str) -> None:
     record_text(with_revisits(pages)).write.option("lineSep", END).option("compression", "gzip").text(folder)
 
 
-def inflate(data: bytes) -> Iterator[bytes]:
-    """A gzip stream in pieces; further members follow on, a broken tail is dropped."""
-    view, at = memoryview(data), 0
-    while at < len(view):
-        stream, fed = zlib.decompressobj(31), at
+def inflate(read: Callable[[int], bytes]) -> Iterator[bytes]:
+    """A gzip stream in pieces, read in pieces; further members follow on, a broken tail is dropped."""
+    held, stream = b"", zlib.decompressobj(31)
+    while True:
+        held = held or read(PIECE)
+        last = not held
         try:
-            while not stream.eof and fed < len(view):
-                piece = stream.decompress(view[fed : fed + PIECE], 8 * PIECE)
-                fed += PIECE
-                while piece:
-                    yield piece
-                    piece = stream.decompress(stream.unconsumed_tail, 8 * PIECE) if stream.unconsumed_tail else b""
+            piece = stream.decompress(held, 8 * PIECE)
         except zlib.error:
             return
-        at = min(fed, len(view)) - len(stream.unused_data) if stream.eof else len(view)
+        if piece:
+            yield piece
+        elif last:
+            return
+        if stream.eof:
+            held, stream = stream.unused_data, zlib.decompressobj(31)
+        else:
+            held = stream.unconsumed_tail
 
 
 def headers(block: bytes) -> dict[str, str]:
@@ -139,16 +143,18 @@ def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
-    """Rewrite all archives below ``source`` into ``target``; the index, read from the sidecars."""
+    """Rewrite all archives in the folder ``source`` into ``target``; the index, read from the sidecars."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(target)
+        inputs, folder = fs.FileSystem.from_uri(source)
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+            for path in batch.column("path").to_pylist():
                 name = posixpath.basename(path).split(".")[0]
                 part, lines, at = f"{root}/.{name}-{uuid.uuid4().hex}", [], 0
-                with store.open_output_stream(part) as out:
-                    for head, whole in records(inflate(content.as_buffer())):
+                whole_file = inputs.open_input_stream(f"{folder}/{posixpath.basename(path)}", compression=None)
+                with whole_file, store.open_output_stream(part) as out:
+                    for head, whole in records(inflate(whole_file.read)):
                         pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                         member = pack.compress(whole) + pack.flush()
                         out.write(member)
@@ -165,7 +171,8 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
 
     store, root = fs.FileSystem.from_uri(target)
     store.create_dir(root, recursive=True)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path", "content")
+    # names only: a task opens its archives itself, as streams
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path")
     done = files.mapInArrow(run, "archive string, records long")
     if not done.agg(F.count("*")).first()[0]:
         return spark.createDataFrame([], INDEX)
@@ -214,11 +221,24 @@ def read_records(index: DataFrame, target: str) -> DataFrame:
     )
 
 
+def verified(records_: DataFrame) -> DataFrame:
+    """The records without their payloads; a revisit has the digest and length of the payload it refers to, and is intact if
+    its own header says the same."""
+    rows = materialize(records_.drop("payload"), "records")
+    told = ["payload_bytes", "payload_digest"]
+    sources = rows.where("record_type = 'response' AND intact").select(F.col("page_id").alias("refers_to"), *(F.col(c).alias(f"_{c}") for c in told))
+    sources = sources.dropDuplicates(["refers_to"])  # an id that repeats its payload
+    joined = rows.where("record_type = 'revisit'").join(sources, "refers_to", "left")
+    same = F.coalesce(*(F.col(c) == F.col(f"_{c}") for c in told[:1]), F.lit(False)) & F.coalesce(F.col(told[1]) == F.col(f"_{told[1]}"), F.lit(False))
+    revisits = joined.withColumn("intact", same).withColumns({c: F.col(f"_{c}") for c in told}).select(*rows.columns)
+    return rows.where("record_type <> 'revisit'").unionByName(revisits)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole, single = scratch(spark, "warc-whole"), scratch(spark, "warc-members")
     write_monolithic(spark.read.parquet(f"{sf_dir}/pages.parquet"), whole)
     index = normalise(spark, whole, single)
-    return read_records(index, single).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+    return verified(read_records(index, single)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
 SQL = """

@@ -69,3 +69,44 @@ def test_mix_and_packing(stages):
     _, docs, found = stages[4]
     pieces = found.where("piece = 0").count()
     assert pieces == docs.count()
+
+
+CLASHING = ["_row", "_n", "_id", "_times", "_text", "_hash", "key", "node", "label", "size", "_block", "_kept0", "root"]
+
+
+@pytest.fixture(scope="module")
+def hard(spark):
+    """Nulls in any column, empty and long texts, ties, repeated rows, extra columns with clashing names."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
+    text = lambda k: " ".join(f"{words[(k * 7 + i * (3 + k % 5)) % 19]}{(k + i * i) % 97}" for i in range(80))
+    rows = [(k, text(k), "en", f"s{k % 3}", 80) for k in range(12)] + [(3, text(3), "en", "s0", 80)] * 2 + [(50, text(3), None, None, None)]
+    rows += [(None, text(20), "en", "s1", None), (None, text(20), "en", "s1", None), (60, None, None, None, None), (61, "", "en", "s1", 0), (62, " \n", "en", "s1", 2)]
+    rows += [(63, " ".join(f"word{k}" for k in range(50_000)), "en", "s2", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    return spark.createDataFrame([(*r, *(None if k % 2 else f"v{k}" for k in range(len(CLASHING)))) for r in rows], schema).repartition(3).cache()
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_hard_cases_of_every_stage(spark, hard, number):
+    name, stage = corpus_pipeline.STAGES[number]
+    found = stage(spark, hard, DATA)
+    none = stage(spark, hard.limit(0), DATA)
+    assert none.count() == 0 and none.schema == found.schema
+    got = found.collect()
+    ids = [r.doc_id for r in got]
+    if number < 4:
+        assert found.columns == hard.columns and all(r["_row"] == "v0" and r["_n"] is None and r["key"] == "v6" for r in got)
+    if name == "quality":
+        assert not {60, 61, 62} & set(ids) and ids.count(3) in (0, 3)
+    if name == "toxicity":
+        assert {60, 61, 62} <= set(ids)
+    if name == "near duplicates":
+        assert ids.count(3) == 1 and 50 not in ids and ids.count(None) == 1 and {60, 61, 62, 63} <= set(ids)
+    if name == "mixing":
+        taken = {(r.doc_id, r._h): r.n for r in mixing.mix(hard.selectExpr("doc_id", "text", "source", "xxhash64(text, source) AS _h"), keep=["_h"]).groupBy("doc_id", "_h").agg({"*": "count"}).toDF("doc_id", "_h", "n").collect()}
+        assert taken and not {60, 61, 62} & set(ids) and ids.count(50) <= 2
+        total = sum(r.taken for r in mixing.mix(hard).collect())
+        assert sum(len(r.text.split()) for r in got) == total
+    if name == "packing":
+        assert sum(r.doc_id in (60, 61, 62) and r.length == 1 for r in got) == 3
+        assert len({(r.sequence_id, r.offset) for r in got}) == len(got)
