@@ -103,6 +103,17 @@ def by_bucket(keys: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(keys, np.arange(n + 1, dtype=_U) << _U(32))
 
 
+def spread(sorted_keys: np.ndarray) -> bytes:
+    """Sorted numbers of 32 bits as differences, byte after byte of all of them: the high bytes are mostly zeros, which the
+    exchange's own compression takes away."""
+    return np.diff(sorted_keys.astype("<u4"), prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def gather(blob: bytes) -> np.ndarray:
+    """The numbers of ``spread``."""
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view("<u4").ravel(), dtype="<u4")
+
+
 class Hasher:
     """64-bit hashes of words, remembering some."""
 
@@ -132,7 +143,7 @@ def count_grams(n: int):
             cuts = by_bucket(keys, n)
             for b in np.flatnonzero(np.diff(cuts)):
                 at = slice(cuts[b], cuts[b + 1])
-                row = [[b], [k], [keys[at].astype("<u4").tobytes()], [times[at].astype("<u4").tobytes()]]
+                row = [[b], [k], [spread(keys[at] & _U(0xFFFFFFFF))], [times[at].astype("<u4").tobytes()]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, COUNTED)], schema=COUNTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +209,7 @@ def build_bucket(table: pa.Table, room: int = BITS) -> pa.Table:
     rows = {k: ([np.empty(0, "<u4")], [np.empty(0, "<u4")]) for k in range(2, ORDER + 1)}
     for k, g, t in zip(*(table.column(c).to_pylist() for c in ("n_words", "grams", "times"))):
         if g:
-            rows[k][0].append(np.frombuffer(g, "<u4"))
+            rows[k][0].append(gather(g))
             rows[k][1].append(np.frombuffer(t, "<u4"))
     out: dict[str, list] = {"filters": [], "histogram": []}
     for k in rows:
@@ -302,7 +313,7 @@ def ask(n: int):
         times = block.times(np.array([not x for x in rows.column("held_out").to_pylist()], float))
         cut = lambda x, cuts: [x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
         lists = [list(range(n)), [rows.column("_block")[0].as_py()] * n, cut(block.hashes, block.cuts), cut(times, block.cuts)]
-        lists += [cut(keys.astype("<u4"), cuts) for keys, cuts in zip(block.keys, block.gram_cuts)]
+        lists += [[spread(keys[a:b] & _U(0xFFFFFFFF)) for a, b in zip(cuts, cuts[1:])] for keys, cuts in zip(block.keys, block.gram_cuts)]
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(lists, ASKED)], schema=ASKED)
 
     return run
@@ -321,7 +332,7 @@ def answer(asked: pa.Table, model: pa.Table) -> pa.Table:
     lists = [asked.column("bucket").to_pylist(), asked.column("_block").to_pylist(), [total[which[a:b]].astype("<i8").tobytes() for a, b in zip(cuts, cuts[1:])]]
     lists += [[histogram(total).tobytes()] * rows, [int((total > 0).sum())] * rows]
     for filt, c in zip(model.column("filters")[0].as_py(), GRAMS):
-        lists.append([probe(filt, np.frombuffer(x, "<u4").astype(_U)).tobytes() for x in asked.column(c).to_pylist()])
+        lists.append([probe(filt, gather(x).astype(_U)).tobytes() for x in asked.column(c).to_pylist()])
     return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(lists, ANSWERED)], schema=ANSWERED)
 
 
