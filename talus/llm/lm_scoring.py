@@ -34,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,15 +104,25 @@ def by_bucket(keys: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(keys, np.arange(n + 1, dtype=_U) << _U(32))
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Numbers byte after byte of all of them, compressed: what travels is mostly small."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
+
+
+def numbers(blob: bytes, kind: str) -> np.ndarray:
+    """The numbers of ``planes``."""
+    raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def spread(sorted_keys: np.ndarray) -> bytes:
-    """Sorted numbers of 32 bits as differences, byte after byte of all of them: the high bytes are mostly zeros, which the
-    exchange's own compression takes away."""
-    return np.diff(sorted_keys.astype("<u4"), prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Sorted numbers of 32 bits as their differences."""
+    return planes(np.diff(sorted_keys.astype("<u4"), prepend=np.uint32(0)))
 
 
 def gather(blob: bytes) -> np.ndarray:
     """The numbers of ``spread``."""
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view("<u4").ravel(), dtype="<u4")
+    return np.cumsum(numbers(blob, "<u4"), dtype="<u4")
 
 
 class Hasher:
@@ -143,7 +154,7 @@ def count_grams(n: int):
             cuts = by_bucket(keys, n)
             for b in np.flatnonzero(np.diff(cuts)):
                 at = slice(cuts[b], cuts[b + 1])
-                row = [[b], [k], [spread(keys[at] & _U(0xFFFFFFFF))], [times[at].astype("<u4").tobytes()]]
+                row = [[b], [k], [spread(keys[at] & _U(0xFFFFFFFF))], [planes(times[at].astype("<u4"))]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, COUNTED)], schema=COUNTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +221,7 @@ def build_bucket(table: pa.Table, room: int = BITS) -> pa.Table:
     for k, g, t in zip(*(table.column(c).to_pylist() for c in ("n_words", "grams", "times"))):
         if g:
             rows[k][0].append(gather(g))
-            rows[k][1].append(np.frombuffer(t, "<u4"))
+            rows[k][1].append(numbers(t, "<u4"))
     out: dict[str, list] = {"filters": [], "histogram": []}
     for k in rows:
         keys, which = np.unique(np.concatenate(rows[k][0]), return_inverse=True)
@@ -311,7 +322,7 @@ def ask(n: int):
         """A block's distinct words, their counts in its training texts, and its distinct n-grams, for every bucket."""
         block = Block(rows.column("text").to_pylist(), n)
         times = block.times(np.array([not x for x in rows.column("held_out").to_pylist()], float))
-        cut = lambda x, cuts: [x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+        cut = lambda x, cuts: [planes(x[a:b]) for a, b in zip(cuts, cuts[1:])]
         lists = [list(range(n)), [rows.column("_block")[0].as_py()] * n, cut(block.hashes, block.cuts), cut(times, block.cuts)]
         lists += [[spread(keys[a:b] & _U(0xFFFFFFFF)) for a, b in zip(cuts, cuts[1:])] for keys, cuts in zip(block.keys, block.gram_cuts)]
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(lists, ASKED)], schema=ASKED)
@@ -323,16 +334,16 @@ def answer(asked: pa.Table, model: pa.Table) -> pa.Table:
     """A bucket's word counts and the levels of n-grams, for each block in the order it asked."""
     if not asked.num_rows:
         return ANSWERED.empty_table()
-    hashes = [np.frombuffer(x, _U) for x in asked.column("hashes").to_pylist()]
-    times = np.frombuffer(b"".join(asked.column("times").to_pylist()), "<u4")
+    hashes = [numbers(x, "<u8") for x in asked.column("hashes").to_pylist()]
+    times = np.concatenate([numbers(x, "<u4") for x in asked.column("times").to_pylist()])
     words, which = np.unique(np.concatenate(hashes), return_inverse=True)
     total = np.bincount(which, weights=times, minlength=len(words)).astype(np.int64)
     cuts = np.cumsum([0, *map(len, hashes)])
     rows = asked.num_rows
-    lists = [asked.column("bucket").to_pylist(), asked.column("_block").to_pylist(), [total[which[a:b]].astype("<i8").tobytes() for a, b in zip(cuts, cuts[1:])]]
+    lists = [asked.column("bucket").to_pylist(), asked.column("_block").to_pylist(), [planes(total[which[a:b]].astype("<i8")) for a, b in zip(cuts, cuts[1:])]]
     lists += [[histogram(total).tobytes()] * rows, [int((total > 0).sum())] * rows]
     for filt, c in zip(model.column("filters")[0].as_py(), GRAMS):
-        lists.append([probe(filt, gather(x).astype(_U)).tobytes() for x in asked.column(c).to_pylist()])
+        lists.append([planes(probe(filt, gather(x).astype(_U))) for x in asked.column(c).to_pylist()])
     return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(lists, ANSWERED)], schema=ANSWERED)
 
 
@@ -347,7 +358,7 @@ def finish(n: int, histograms: np.ndarray):
         answers = answers.sort_by("bucket")
         block = Block(rows.column("text").to_pylist(), n)
         count = np.empty(len(block.order), np.int64)
-        count[block.order] = np.frombuffer(b"".join(answers.column("counts").to_pylist()), "<i8")
+        count[block.order] = np.concatenate([numbers(x, "<i8") for x in answers.column("counts").to_pylist()])
         words = sum(np.frombuffer(x, "<i8") for x in answers.column("histogram").to_pylist()).reshape(2, LEVELS)
         all_, distinct = int(words[1].sum()), sum(answers.column("distinct").to_pylist())
         at = block.at
@@ -357,7 +368,7 @@ def finish(n: int, histograms: np.ndarray):
         levels = []
         for k, (c, which) in enumerate(zip(GRAMS, block.which)):
             level = np.zeros(len(at), np.int64)
-            level[block.real] = np.frombuffer(b"".join(answers.column(c).to_pylist()), np.uint8)[which]
+            level[block.real] = np.concatenate([numbers(x, "u1") for x in answers.column(c).to_pylist()])[which]
             mu = smoothing(tables[k], histograms[k][0][1])
             history = np.concatenate(([0], before[:-1]))
             p = (np.minimum(EDGES[level], history) + mu * p) / (history + mu)
