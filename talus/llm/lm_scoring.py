@@ -106,13 +106,14 @@ def by_bucket(keys: np.ndarray, n: int) -> np.ndarray:
 
 def planes(x: np.ndarray) -> bytes:
     """Numbers byte after byte of all of them, compressed: what travels is mostly small."""
-    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 1)
 
 
 def numbers(blob: bytes, kind: str) -> np.ndarray:
     """The numbers of ``planes``."""
     raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
-    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(kind).ravel()
 
 
 def spread(sorted_keys: np.ndarray) -> bytes:
