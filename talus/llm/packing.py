@@ -33,6 +33,8 @@ from talus.llm.word_values import value_words
 
 LENGTH, CLOSING_ID = 2048, 0
 STEP, RATE, GRID = 0.25, 0.3, 128
+#: The shortest pieces that make up this share of all ids stay out of the program and fill its gaps.
+FILL = 0.08
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -113,10 +115,12 @@ def solve(histogram: dict[int, int], size: int = LENGTH) -> Solution:
     made: list[tuple[dict[int, int], int]] = [({size: 1}, int(need[size]))] if need[size] else []
     left[size] = 0
     of = np.clip(np.rint(lengths / unit).astype(int), 1, size // unit)
+    of[np.cumsum(lengths * left) <= FILL * (lengths @ left)] = 0  # kept for the gaps
     units = np.bincount(of, left, size // unit + 1).astype(np.int64)
+    units[0] = 0
     found, unit_price = fractional(units)
     whole = np.diff(np.floor(np.cumsum([0.5, *found.values()]))).astype(int)
-    members = [[int(x) for x in np.flatnonzero(of == u) if left[x]] for u in range(len(units))]
+    members = [[int(x) for x in np.flatnonzero(of == u) if u and left[x]] for u in range(len(units))]
     pieces = int(left.sum())
     for config, often in zip(found, whole.tolist()):
         made.extend(filled(config, often, members, left, size, unit))
