@@ -127,6 +127,14 @@ def gathered(rows: DataFrame, *by: str) -> DataFrame:
     return rows.repartition(partitions(rows.sparkSession), *by).sortWithinPartitions(*by)
 
 
+def changes(rows: pd.DataFrame, by: list[str]) -> np.ndarray:
+    """Whether a row differs from the one before it in ``by``; the first does."""
+    new = np.ones(len(rows), bool)
+    if len(rows) > 1:
+        new[1:] = np.any([(x := rows[c].to_numpy())[1:] != x[:-1] for c in by], axis=0)
+    return new
+
+
 def in_groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
     """Runs of rows with equal ``by`` columns, from batches that are sorted by them, of bounded size each."""
     held: pd.DataFrame | None = None
@@ -135,11 +143,7 @@ def in_groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.Dat
             batch = pd.concat([held, batch], ignore_index=True)
         if not len(batch):
             continue
-        new = np.zeros(len(batch), bool)
-        for c in by:
-            x = batch[c].to_numpy()
-            new[1:] |= x[1:] != x[:-1]
-        cuts = [0, *np.flatnonzero(new).tolist()]
+        cuts = np.flatnonzero(changes(batch, by)).tolist()
         for lo, hi in zip(cuts, cuts[1:]):
             yield batch.iloc[lo:hi]
         held = batch.iloc[cuts[-1] :]

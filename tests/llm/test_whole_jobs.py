@@ -1,6 +1,9 @@
 """Cases that an operator once left out of its job."""
 
+import itertools
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +78,59 @@ def test_all_near_corners_meet(spark, monkeypatch):
     assert len(found) == len(set(found)) and {tuple(r) for r in found} == wanted
 
 
+def plain_agreement(query, image):
+    """The most agreeing places of one pair: every bin of every one of the sixteen shifted grids is counted."""
+    best = 0
+    for shifts in itertools.product((0.0, 0.5), repeat=4):
+        bins = {}
+        for (qx, qy, qa, qs), (ix, iy, ia, is_) in zip(query.tolist(), image.tolist()):
+            turn, grow = (ia - qa) % (2 * np.pi), qs / is_
+            c, s = np.cos(turn) * grow, np.sin(turn) * grow
+            v = turn / image_copies.TURN, np.log2(grow) / image_copies.GROWTH, (ix - qx * c + qy * s) / image_copies.SHIFT, (iy - qx * s - qy * c) / image_copies.SHIFT
+            key = [int(np.floor(x + h)) for x, h in zip(v, shifts)]
+            seen = bins.setdefault((key[0] % 12, *key[1:]), (set(), set()))
+            for places, x, y in zip(seen, (qx, ix), (qy, iy)):
+                places.add((x // image_copies.PLACE, y // image_copies.PLACE))
+        best = max([best, *(min(map(len, seen)) for seen in bins.values())])
+    return best if best >= image_copies.INLIERS else 0
+
+
+def test_votes_against_plain_counting():
+    rng = np.random.default_rng(31)
+    pair = np.sort(np.concatenate([np.arange(40), rng.integers(0, 40, 900)]))
+    scale = lambda: rng.choice(image_copies.SCALES, (len(pair), 1))
+    query = np.hstack([rng.uniform(0, 64, (len(pair), 2)), rng.uniform(-np.pi, np.pi, (len(pair), 1)), scale()])
+    image = np.hstack([query[:, :2] + rng.normal(0, 2, (len(pair), 2)), query[:, 2:3] + rng.normal(0, 0.05, (len(pair), 1)), query[:, 3:]])
+    stray = rng.random(len(pair)) < pair / 40
+    image[stray, 3:] = scale()[stray]
+    image[stray, :2] = rng.uniform(0, 64, (stray.sum(), 2))
+    query[5:300:7] = query[4:299:7]
+    got = image_copies.agreement(pair, query, image)
+    wanted = [plain_agreement(query[pair == k], image[pair == k]) for k in range(40)]
+    assert got.tolist() == wanted and 0 < sum(map(bool, wanted)) < 40
+    assert image_copies.agreement(pair[:0], query[:0], image[:0]).tolist() == []
+
+
+def test_whole_pairs_over_small_batches():
+    """A pair that several batches share is judged once and whole."""
+    n = 12
+    rows = pd.DataFrame({"query": [1] * n + [2] * 3 + [3] * n, "image": [7] * n + [7] * 3 + [9] * n})
+    at = (np.arange(n) * 5 * 12) << 44 | (np.arange(n) * 4 % 7 * 60) << 24 | 100 << 10 | 1000
+    rows["query_place"] = rows["place"] = np.concatenate([at, at[:3], at])
+    whole = pd.concat(image_copies.vote(iter([rows])))
+    assert list(zip(whole["query"], whole["image"], whole["inliers"])) == [(1, 7, n), (3, 9, n)]
+    for size in (1, 5, 13):
+        cut = pd.concat(image_copies.vote(iter([rows[k : k + size] for k in range(0, len(rows), size)])))
+        assert cut.to_numpy().tolist() == whole.to_numpy().tolist()
+
+
+def test_places_keep_their_corner(spark):
+    rows = [(0.1, 0.2, -3.1, 1.0), (511.9, 3.3, 3.14, 0.75), (86000.4, 81999.9, 0.0, 0.5)]
+    table = spark.createDataFrame(rows, "x double, y double, angle double, scale double")
+    got = image_copies.unpacked_place(np.array([r[0] for r in table.select(image_copies.packed_place()).collect()]))
+    assert np.abs(got - np.array(rows)).max() <= 0.042 and np.abs(got[:, 2:] - np.array(rows)[:, 2:]).max() < 5e-4
+
+
 def test_tables_keep_all_text():
     text = html_text.visible_text
     assert text("<table><td>x</td></table>") == "x"
