@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.functions import nearby_bins
+from talus.functions import jaccard, nearby_bins, word_tokens
 from talus.sources import table
 
 
@@ -107,14 +107,38 @@ def greatest_by_self(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("l_partkey", F.col("b.l_quantity").alias("l_quantity"), "s_name")
 
 
+def similar_within_key(spark: SparkSession, d: str, least: float = 0.3) -> DataFrame:
+    """Pairs of different word sets among the part names of a brand that are ``least`` similar or more, and how many parts have each.
+
+    Parts with one word set are one row before anything is paired. Sets meet by the words that stand first in them: of two sets
+    as similar as asked, the first common word is among the first size - least * size + 1 of both, so no pair is lost.
+    """
+    words = F.array_sort(word_tokens(F.col("p_name"), 1))
+    sets = table(spark, d, "part").groupBy("p_brand", words.alias("words")).agg(F.count("*").alias("parts")).where("size(words) > 0")
+    first = F.size("words") - F.ceil(F.size("words") * least - 1e-9).cast("int") + 1
+    met = sets.withColumn("word", F.explode(F.slice("words", 1, first)))
+    a, b = (met.select("p_brand", "word", F.col("words").alias(f"{s}_set"), F.col("parts").alias(f"{s}_parts")) for s in ("left", "right"))
+    pairs = a.join(b, ["p_brand", "word"]).withColumns({f"{s}_words": F.array_join(f"{s}_set", " ") for s in ("left", "right")})
+    common = F.array_intersect("left_set", "right_set")
+    similarity = jaccard(F.col("left_set"), F.col("right_set"))
+    pairs = pairs.where((F.col("left_words") < F.col("right_words")) & (common[0] == F.col("word")) & (similarity >= least))
+    return pairs.select("p_brand", "left_words", "right_words", "left_parts", "right_parts", F.round(similarity, 4).alias("similarity"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         nway_inner, left_made_inner, range_in_aggregate, interval_semi, lateral_top1, count_plus_one, inline_values_product,
-        join_on_parameter, two_children, existence_fallback, json_path_fallback, greatest_by_self,
+        join_on_parameter, two_children, existence_fallback, json_path_fallback, greatest_by_self, similar_within_key,
     )
 }
 SQL = {
+    "similar_within_key": """WITH s AS (SELECT p_brand, list_sort(list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+'))) AS w FROM part),
+        g AS (SELECT p_brand, w, array_to_string(w, ' ') AS words, count(*) AS parts FROM s WHERE len(w) > 0 GROUP BY p_brand, w),
+        p AS (SELECT a.p_brand, a.words AS left_words, b.words AS right_words, a.parts AS left_parts, b.parts AS right_parts,
+            len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS x
+            FROM g a JOIN g b ON a.p_brand = b.p_brand AND a.words < b.words)
+        SELECT p_brand, left_words, right_words, left_parts, right_parts, round(x, 4) AS similarity FROM p WHERE x >= 0.3""",
     "nway_inner": """SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 1) AS revenue, count(*) AS n_lines
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
         WHERE o_orderstatus = 'F' GROUP BY n_name""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import io
+import json
 import re
 import zipfile
 from collections.abc import Callable, Iterator
@@ -117,6 +118,78 @@ def cached_version(make: Callable[[], DataFrame], folder: str, *versions: str) -
         return spark.read.parquet(path)
 
 
+def text_with_fallback(files: DataFrame, first: Callable, second: Callable, quality: Callable, enough: float) -> DataFrame:
+    """path, text, quality, extractor and error of binary files (``path``, ``content``).
+
+    ``first`` and ``second`` make text of bytes, ``quality`` a number of text. Text below ``enough`` is extracted by the
+    second as well and the better one is kept, at equal quality the first. An extractor that raises has no text.
+    """
+
+    def tried(extract: Callable, name: str, content: bytes | None) -> tuple:
+        try:
+            text = extract(content or b"")
+            return text, None if text is None else float(quality(text)), name, None
+        except Exception as e:  # whatever a library makes of a broken file
+            return None, None, name, type(e).__name__
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worth = lambda found: float("-inf") if found[1] is None else found[1]
+        for batch in batches:
+            out = []
+            for path, content in zip(batch["path"], batch["content"]):
+                best = tried(first, "first", content)
+                if worth(best) < enough:
+                    other = tried(second, "second", content)
+                    best = other if worth(other) > worth(best) else best
+                out.append((path, *best))
+            yield pd.DataFrame(out, columns=["path", "text", "quality", "extractor", "error"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, text string, quality double, extractor string, error string")
+
+
+def model_answers(requests: Column, make_client: Callable[[], Callable[[list], list]]) -> Column:
+    """Answers of a service: ``make_client`` is called once a task, its result with a list of requests for each Arrow batch."""
+
+    @F.pandas_udf("string")
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        client = make_client()
+        for batch in batches:
+            answers = client([None if pd.isna(x) else x for x in batch])
+            if len(answers) != len(batch):
+                raise ValueError(f"{len(answers)} answers to {len(batch)} requests")
+            yield pd.Series(answers, dtype=object)
+
+    return ask(requests)
+
+
+def _patched(old, patch):
+    if not isinstance(patch, dict):
+        return patch
+    kept = dict(old) if isinstance(old, dict) else {}
+    for key, value in patch.items():
+        if value is None:
+            kept.pop(key, None)
+        else:
+            kept[key] = _patched(kept.get(key), value)
+    return kept
+
+
+def merge_patch(old: Column, patch: Column) -> Column:
+    """JSON merge patch (RFC 7396) of nested objects, as text: null without a patch or where one of the two is no JSON; no ``old`` is {}."""
+
+    @F.pandas_udf("string")
+    def merged(olds: pd.Series, patches: pd.Series) -> pd.Series:
+        def one(a, b):
+            try:
+                return None if pd.isna(b) else json.dumps(_patched({} if pd.isna(a) else json.loads(a), json.loads(b)), ensure_ascii=False, separators=(",", ":"))
+            except ValueError:
+                return None
+
+        return pd.Series([one(a, b) for a, b in zip(olds, patches)], dtype=object)
+
+    return merged(old, patch)
+
+
 _CELL = re.compile(r"([A-Z]+)([0-9]+)")
 
 

@@ -85,6 +85,64 @@ def test_workbooks(spark, tmp_path):
     assert got["good.xlsx"] == ("Ann", "7", None) and got["short.xlsx"][2] == "missing: day no" and got["bad.xlsx"][2] == "BadZipFile"
 
 
+def test_similar_sets_by_brute_force(spark, tmp_path):
+    """Long names, so that sets meet by several words: no pair is lost and none comes twice."""
+    import itertools
+    import random
+
+    from talus.operators.lookups import similar_within_key
+
+    draw = random.Random(4)
+    names = [" ".join(draw.choices("abcdefghijklmnop", k=draw.randint(0, 12))) for _ in range(160)] + ["a b c"] * 3 + [None]
+    rows = [(f"Brand#{k % 3}", n) for k, n in enumerate(names)]
+    spark.createDataFrame(rows, "p_brand string, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    sets = {(brand, tuple(sorted(set(name.split())))) for brand, name in rows if name}
+    for least in (0.3, 0.5, 0.8):
+        wanted = set()
+        for (brand, a), (other, b) in itertools.combinations(sorted(sets), 2):
+            similarity = len({*a} & {*b}) / len({*a} | {*b})
+            if brand == other and similarity >= least:
+                wanted.add((brand, *sorted([" ".join(a), " ".join(b)]), round(similarity, 4)))
+        got = [(r.p_brand, r.left_words, r.right_words, r.similarity) for r in similar_within_key(spark, str(tmp_path), least).collect()]
+        assert len(got) == len(set(got)) and set(got) == wanted and wanted
+
+
+def test_text_with_fallback(spark):
+    files = spark.createDataFrame([("good", b"fine text"), ("poor", b"x"), ("broken", b"!"), ("both", b"!!"), ("none", None)], "path string, content binary")
+
+    def first(content):
+        if content.startswith(b"!"):
+            raise ValueError(content)
+        return content.decode()
+
+    def second(content):
+        if content == b"!!":
+            raise KeyError(content)
+        return "a better text" if content else ""
+
+    rows = sources.text_with_fallback(files, first, second, len, 5).collect()
+    assert {r.path: (r.text, r.extractor, r.error) for r in rows} == {
+        "good": ("fine text", "first", None), "poor": ("a better text", "second", None), "broken": ("a better text", "second", None),
+        "both": (None, "first", "ValueError"), "none": ("", "first", None),
+    }
+
+
+def test_model_answers(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "")], "k int, q string")
+    make = lambda: lambda asked: [None if x is None else x + "!" for x in asked]
+    assert {r.k: r.a for r in rows.select("k", sources.model_answers(F.col("q"), make).alias("a")).collect()} == {1: "a!", 2: None, 3: "!"}
+
+
+def test_merge_patch(spark):
+    cases = [
+        ('{"a":{"b":1,"c":2},"d":3}', '{"a":{"b":null,"e":{"f":null,"g":1}},"d":[1]}', '{"a":{"c":2,"e":{"g":1}},"d":[1]}'),
+        ('{"a":"b"}', '["c"]', '["c"]'), ("[1,2]", '{"a":"b","c":null}', '{"a":"b"}'), (None, '{"a":null,"é":1}', '{"é":1}'),
+        ('{"a":1}', None, None), ("oops", "{}", None), ('{"a":1}', "oops", None), ('{"a":{"b":1}}', '{"a":7}', '{"a":7}'),
+    ]
+    rows = spark.createDataFrame(cases, "o string, p string, w string")
+    assert all(r.got == r.w for r in rows.select(sources.merge_patch(F.col("o"), F.col("p")).alias("got"), "w").collect())
+
+
 def test_strict_json_fails(spark):
     import pytest
 
