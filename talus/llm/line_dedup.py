@@ -31,13 +31,12 @@ def hashes(x: Column, name: str) -> list[Column]:
     return [F.xxhash64(x).alias(f"{name}1"), F.xxhash64(F.lit(name), x).alias(f"{name}2")]
 
 
-def common_lines(lines: DataFrame, least_docs: int, least_chars: int) -> DataFrame:
+def common_lines(lines: DataFrame, least_docs: int) -> DataFrame:
     """The hashes (_k1, _k2) of lines in at least ``least_docs`` documents.
 
     Documents and hashes meet by both first, so that a line of a third of all documents is counted in many tasks.
     """
-    pairs = lines.where(F.char_length("_key") >= least_chars)
-    pairs = pairs.select("_k1", "_k2", "doc_id", F.when(F.col("doc_id").isNull(), F.col("_t1")).alias("_no_id")).distinct()
+    pairs = lines.select("_k1", "_k2", "doc_id", F.when(F.col("doc_id").isNull(), F.col("_t1")).alias("_no_id")).distinct()
     return pairs.groupBy("_k1", "_k2").agg(F.count("*").alias("_docs")).where(F.col("_docs") >= least_docs).drop("_docs")
 
 
@@ -47,9 +46,9 @@ def drop_common_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, least_chars
     rows = docs.select("doc_id", *hashes(text, "_t"), F.split(text, "\n", -1).alias("_lines"))
     lines = rows.select("doc_id", "_t1", "_t2", F.posexplode("_lines").alias("_at", "_line"))
     lines = lines.withColumn("_key", line_key(F.col("_line"))).drop("_line")
-    lines = lines.select("doc_id", "_t1", "_t2", "_at", "_key", *hashes(F.col("_key"), "_k"))
-    found = lines.drop("_key").join(common_lines(lines, least_docs, least_chars), ["_k1", "_k2"])
-    # an empty key is a hash like any other, but never among the common ones unless least_chars is 0
+    lines = lines.where(F.char_length("_key") >= least_chars).select("doc_id", "_t1", "_t2", "_at", *hashes(F.col("_key"), "_k"))
+    # written, so that the lines join a table by plain exchanges, of which Spark splits that of a hot line
+    found = lines.join(materialize(common_lines(lines, least_docs), "common-lines"), ["_k1", "_k2"])
     dropped = found.groupBy("doc_id", "_t1", "_t2").agg(F.collect_set("_at").alias("_gone"))
     # written, so that Spark knows the size: documents are exchanged only where this is too large to broadcast
     dropped = materialize(dropped.toDF("_id", "_d1", "_d2", "_gone"), "dropped-lines")
