@@ -26,8 +26,8 @@ def best_first(pairs: DataFrame, bands: int = 4) -> DataFrame:
     """
     spark = pairs.sparkSession
     left = written(pairs.select("key", "left", "right", F.col("score").cast("double").alias("score")), "pairs")
-    cuts = left.approxQuantile("score", [k / bands for k in range(1, bands)], 0.01)
-    cuts = sorted(set(cuts), reverse=True)
+    cuts = left.approxQuantile("score", [k / bands for k in range(1, bands)], 0.01) if bands > 1 else []
+    cuts = sorted(set(cuts), reverse=True)  # equal scores are in one band
     taken = spark.createDataFrame([], left.schema)
     for high, low in zip([None, *cuts], [*cuts, None]):
         band = left
