@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -27,8 +27,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def prefix_sums(df: DataFrame, group: str, order: list, value: str, before: str, total: str) -> DataFrame:
-    """Add sums of ``value`` within ``group``: over the rows before a row in ``order``, and over all its rows.
+def prefix_sums(df: DataFrame, group: str, order: list[Column], *values: str) -> DataFrame:
+    """Add for each of ``values`` its sum over the rows before a row within ``group`` (before_...) and over the group (total_...).
 
     Rows are ranged by group and order, so a group of any size lies in many tasks; the sums of the ranges are a window over
     one row for each range and group. ``order`` is made total by a number that is written with the rows, so that equal rows are
@@ -37,12 +37,13 @@ def prefix_sums(df: DataFrame, group: str, order: list, value: str, before: str,
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     numbered = written(df.withColumn("_tie", F.monotonically_increasing_id()), "numbered")
-    by = [F.col(group), *order, F.col("_tie")]
-    ranged = numbered.repartitionByRange(n, *by).withColumn("_part", F.spark_partition_id())
+    ranged = numbered.repartitionByRange(n, F.col(group), *order, F.col("_tie")).withColumn("_part", F.spark_partition_id())
     ranged = written(ranged, "ranged")
-    parts = ranged.groupBy(F.col(group).alias("_group"), F.col("_part").alias("_p")).agg(F.sum(value).alias("_sum"))
-    earlier = Window.partitionBy("_group").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("_group", "_p", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"), F.sum("_sum").over(Window.partitionBy("_group")).alias(total))
+    parts = ranged.groupBy(F.col(group).alias("_group"), F.col("_part").alias("_p")).agg(*(F.sum(v).alias(v) for v in values))
+    earlier, whole = Window.partitionBy("_group").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("_group")
+    sums = [F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"_before_{v}") for v in values]
+    parts = parts.select("_group", "_p", *sums, *(F.sum(v).over(whole).alias(f"total_{v}") for v in values))
     within = Window.partitionBy("_part", group).orderBy(*order, "_tie").rowsBetween(Window.unboundedPreceding, -1)
     joined = ranged.join(parts, ranged[group].eqNullSafe(parts["_group"]) & (ranged["_part"] == parts["_p"]))
-    return joined.withColumn(before, F.col("_before") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("_tie", "_part", "_group", "_p", "_before")
+    joined = joined.withColumns({f"before_{v}": F.col(f"_before_{v}") + F.coalesce(F.sum(v).over(within), F.lit(0)) for v in values})
+    return joined.drop("_tie", "_part", "_group", "_p", *(f"_before_{v}" for v in values))
