@@ -110,16 +110,21 @@ def greatest_by_self(spark: SparkSession, d: str) -> DataFrame:
 def similar_within_key(spark: SparkSession, d: str, least: float = 0.3) -> DataFrame:
     """Pairs of different word sets among the part names of a brand that are ``least`` similar or more, and how many parts have each.
 
-    Parts with one word set are one row before anything is paired. Sets meet by the words that stand first in them: of two sets
-    as similar as asked, the first common word is among the first size - least * size + 1 of both, so no pair is lost.
+    Parts with one word set are one row before anything is paired. Sets meet by the rarest of their words: of two sets as similar as
+    asked, the first common word in order of rarity is among the first size - least * size + 1 of both, so no pair is lost, and a
+    word that most parts have brings few together.
     """
     words = F.array_sort(word_tokens(F.col("p_name"), 1))
     sets = table(spark, d, "part").groupBy("p_brand", words.alias("words")).agg(F.count("*").alias("parts")).where("size(words) > 0")
-    first = F.size("words") - F.ceil(F.size("words") * least - 1e-9).cast("int") + 1
-    met = sets.withColumn("word", F.explode(F.slice("words", 1, first)))
-    a, b = (met.select("p_brand", "word", F.col("words").alias(f"{s}_set"), F.col("parts").alias(f"{s}_parts")) for s in ("left", "right"))
+    each = sets.select("p_brand", "words", "parts", F.explode("words").alias("word"))
+    often = each.groupBy("p_brand", "word").agg(F.count("*").alias("n"))
+    rare = each.join(often, ["p_brand", "word"]).groupBy("p_brand", "words", "parts").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("rare"))
+    sets = rare.withColumn("rare", F.transform("rare", lambda x: x["word"]))
+    first = F.size("rare") - F.ceil(F.size("rare") * least - 1e-9).cast("int") + 1
+    met = sets.withColumn("word", F.explode(F.slice("rare", 1, first)))
+    a, b = (met.select("p_brand", "word", F.col("words").alias(f"{s}_set"), F.col("rare").alias(f"{s}_rare"), F.col("parts").alias(f"{s}_parts")) for s in ("left", "right"))
     pairs = a.join(b, ["p_brand", "word"]).withColumns({f"{s}_words": F.array_join(f"{s}_set", " ") for s in ("left", "right")})
-    common = F.array_intersect("left_set", "right_set")
+    common = F.array_intersect("left_rare", "right_rare")
     similarity = jaccard(F.col("left_set"), F.col("right_set"))
     pairs = pairs.where((F.col("left_words") < F.col("right_words")) & (common[0] == F.col("word")) & (similarity >= least))
     return pairs.select("p_brand", "left_words", "right_words", "left_parts", "right_parts", F.round(similarity, 4).alias("similarity"))

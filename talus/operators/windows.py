@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talus.functions import custom_rank
+from talus.operators.shares import capped_shares
 from talus.sources import table
 
 
@@ -40,12 +41,8 @@ def covered_intervals(spark: SparkSession, d: str) -> DataFrame:
 def largest_remainder_weights(spark: SparkSession, d: str) -> DataFrame:
     """Whole weights of brands that add up to 100: floors, then one more by the largest remainders."""
     brands = table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n"))
-    everything = Window.partitionBy()
-    brands = brands.withColumn("_all", F.sum("n").over(everything))
-    brands = brands.withColumn("_base", F.expr("(n * 100) div _all")).withColumn("_rest", (F.col("n") * 100) % F.col("_all"))
-    order = Window.orderBy(F.desc("_rest"), "p_brand")
-    extra = F.row_number().over(order) <= 100 - F.sum("_base").over(everything)
-    return brands.select("p_brand", "n", (F.col("_base") + F.when(extra, 1).otherwise(0)).alias("weight"))
+    found = capped_shares(brands.withColumn("all", F.lit(1)), "all", "p_brand", "n", 100, 100)
+    return found.select(F.col("item").alias("p_brand"), F.col("weight").alias("n"), F.col("share").alias("weight"))
 
 
 def null_sorting_page(spark: SparkSession, d: str) -> DataFrame:

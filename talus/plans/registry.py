@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.operators import aggregates, evidence, joins, lookups, matching, measures, patterns, retrieval, rules, search, shares, snapshots, windows
+from talus.operators import aggregates, evidence, joins, lookups, matching, measures, patterns, retrieval, rules, search, shares, snapshots, upkeep, windows
 
 
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-MODULES = (joins, aggregates, windows, lookups, measures, search, retrieval, patterns, rules, matching, shares, snapshots, evidence)
+MODULES = (joins, aggregates, windows, lookups, measures, search, retrieval, patterns, rules, matching, shares, snapshots, evidence, upkeep)
 QUERIES = {"pricing_summary": pricing_summary} | {k: q for m in MODULES for k, q in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()} | {
     "pricing_summary": """

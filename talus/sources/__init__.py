@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import hashlib
 import io
 import json
 import re
@@ -12,10 +11,16 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talus.sources.replacing import cached_version, publish, replace_children, update_table  # noqa: F401
+
+
+def replace_all(df: DataFrame, path: str) -> None:
+    """The whole table anew; readers see the old one or the new one."""
+    publish(df, path)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -97,27 +102,11 @@ def jdbc_table(spark: SparkSession, url: str, name: str, split: tuple[str, int,
     return reader.load()
 
 
-def replace_all(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
-
-
 def ordered_children(parents: DataFrame, key: str, children: str) -> DataFrame:
     """The rows of an array column, numbered from 0: what is written in place of a parent's former children."""
     return parents.select(key, F.posexplode(children).alias("position", "child"))
 
 
-def cached_version(make: Callable[[], DataFrame], folder: str, *versions: str) -> DataFrame:
-    """A result kept under the hash of its versions: read if it is there whole, else made and written."""
-    spark = SparkSession.active()
-    name = hashlib.sha256("\x00".join(versions).encode()).hexdigest()
-    path = f"{folder.rstrip('/')}/{name}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        make().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
-
-
 def text_with_fallback(files: DataFrame, first: Callable, second: Callable, quality: Callable, enough: float) -> DataFrame:
     """path, text, quality, extractor and error of binary files (``path``, ``content``).
 
@@ -193,34 +182,52 @@ def merge_patch(old: Column, patch: Column) -> Column:
 _CELL = re.compile(r"([A-Z]+)([0-9]+)")
 
 
-def _sheets(content: bytes) -> Iterator[tuple[str, list[list[str]]]]:
-    """Names and rows of a workbook's sheets; cells without a row are kept, trailing blanks and empty rows are not."""
-    local = lambda e: e.tag.rsplit("}", 1)[-1]
+def _local(e: ElementTree.Element) -> str:
+    return e.tag.rsplit("}", 1)[-1]
+
+
+def _listed(book: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """Names of a workbook's sheets, in order, and the parts that hold them."""
+    read = lambda name: ElementTree.fromstring(book.read(name))
+    targets = {e.get("Id"): e.get("Target") for e in read("xl/_rels/workbook.xml.rels")}
+    sheets = [e for e in read("xl/workbook.xml").iter() if _local(e) == "sheet"]
+    links = [targets[next(v for k, v in e.attrib.items() if k.endswith("}id"))].lstrip("/") for e in sheets]
+    return [(e.get("name", ""), t if t.startswith("xl/") else f"xl/{t}") for e, t in zip(sheets, links)]
+
+
+def sheet_names(content: bytes) -> list[str]:
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        return [name for name, _ in _listed(book)]
+
+
+def sheet_rows(content: bytes, number: int) -> tuple[str, list[list[str]]]:
+    """Name and rows of one sheet. A row ends with its last filled cell; rows without one are left out."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
-        names = set(book.namelist())
-        read = lambda name: ElementTree.fromstring(book.read(name))
-        text = lambda e: "".join(t.text or "" for t in e.iter() if local(t) == "t")
-        shared = [text(e) for e in read("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in names else []
-        targets = {e.get("Id"): e.get("Target") for e in read("xl/_rels/workbook.xml.rels")}
-        for sheet in (e for e in read("xl/workbook.xml").iter() if local(e) == "sheet"):
-            link = next(v for k, v in sheet.attrib.items() if k.endswith("}id"))
-            target = targets[link].lstrip("/")
-            rows: list[list[str]] = []
-            for row in (e for e in read(target if target.startswith("xl/") else f"xl/{target}").iter() if local(e) == "row"):
-                cells: list[str] = []
-                for cell in row:
-                    at = _CELL.fullmatch(cell.get("r", ""))
-                    column = functools.reduce(lambda n, c: n * 26 + ord(c) - 64, at[1], 0) - 1 if at else len(cells)
-                    value = next((e.text or "" for e in cell if local(e) == "v"), "")
-                    kind = cell.get("t")
-                    value = shared[int(value)] if kind == "s" and value else text(cell) if kind == "inlineStr" else value
-                    cells.extend([""] * (column - len(cells)))
-                    cells.append(value.strip())
-                while cells and not cells[-1]:
-                    cells.pop()
-                if cells:
-                    rows.append(cells)
-            yield sheet.get("name", ""), rows
+        text = lambda e: "".join(t.text or "" for t in e.iter() if _local(t) == "t")
+        part = "xl/sharedStrings.xml"
+        shared = [text(e) for e in ElementTree.fromstring(book.read(part))] if part in book.namelist() else []
+        name, target = _listed(book)[number]
+        rows = []
+        for row in (e for e in ElementTree.fromstring(book.read(target)).iter() if _local(e) == "row"):
+            values: dict[int, str] = {}
+            last = -1
+            for cell in row:
+                at = _CELL.fullmatch(cell.get("r", ""))
+                column = functools.reduce(lambda n, c: n * 26 + ord(c) - 64, at[1], 0) - 1 if at else last + 1
+                last = column
+                value = next((e.text or "" for e in cell if _local(e) == "v"), "")
+                kind = cell.get("t")
+                value = shared[int(value)] if kind == "s" and value else text(cell) if kind == "inlineStr" else value
+                if value.strip():
+                    values[column] = value.strip()
+            if values:
+                rows.append([values.get(k, "") for k in range(max(values) + 1)])
+        return name, rows
+
+
+def _sheets(content: bytes) -> Iterator[tuple[str, list[list[str]]]]:
+    for number in range(len(sheet_names(content))):
+        yield sheet_rows(content, number)
 
 
 def workbook_rows(spark: SparkSession, path: str) -> DataFrame:
