@@ -1,12 +1,11 @@
 """Operator 4: pack documents into sequences by a configuration linear program over the lengths.
 
 Documents are tokenized (every distinct word of the corpus once), cut at the sequence length, and only the histogram of
-piece lengths, at most ``LENGTH`` rows, goes to the driver. There the fractional program over configurations (multisets of
-sizes that fit a sequence) is solved by multiplicative weights: a size's price falls as its share of covered pieces grows,
-and a knapsack dynamic program finds the best configuration at the current prices, until all need is covered. The
-solution is rounded by cumulative sums, its places are filled with real lengths, and what is left goes by best fit into the
-free room, on the histogram as well. The final prices give a lower bound on the sequences. Pieces then learn their place
-from their rank among the pieces of their length.
+piece lengths, at most ``LENGTH`` rows, goes to the driver. There the program over configurations (multisets of
+lengths that fit a sequence) is solved by multiplicative weights: a length's price falls as its share of covered pieces grows,
+and a knapsack dynamic program finds the best configurations at the current prices, until nearly all need is covered.
+Amounts are rounded to whole sequences, and what is left goes by best fit into the free room, on the histogram as well. Prices
+give a lower bound on the sequences. Pieces then learn their place from their rank among the pieces of their length.
 
 Defined cases: a null or empty text is one piece with the closing id alone; an empty table gives an empty table;
 repeated rows and null ids are packed as any other; other columns are not read; texts are tokenized whole.
@@ -32,9 +31,11 @@ from talus.llm.common import materialize, running_sum
 from talus.llm.word_values import value_words
 
 LENGTH, CLOSING_ID = 2048, 0
-STEP, RATE, GRID = 0.25, 0.3, 128
-#: The shortest pieces that make up this share of all ids stay out of the program and fill its gaps.
-FILL = 0.08
+#: Of the program: how fast prices fall, how much dearer long pieces are, how far below the best a configuration may be, what a round
+#: may take of what is left and of the need, and the share of all ids that is left to best fit.
+RATE, TILT, SLACK, STEP, LEAST, REST = 2.0, 0.3, 0.2, 0.5, 0.1, 0.01
+#: What a configuration may lose where a size in it has run out: at first, and at last, when nothing else is left.
+TRIM = (0.001, 0.016)
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -43,22 +44,37 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def best_configuration(price: np.ndarray) -> np.ndarray:
-    """Knapsack by dynamic programming: sizes (with repeats) of the best filling; ``price[l]`` is that of size l."""
+def knapsack(price: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By dynamic programming, for every room: the value of its best filling, and the size that is taken last in it (0: the
+    room is that of one less). ``price[l]`` is that of size l; sizes that are not for sale have a negative one."""
     size = len(price) - 1
     best, choice = np.zeros(size + 1), np.zeros(size + 1, np.int64)
+    sold = np.flatnonzero(price > 0)
+    low, high = (int(sold[0]), int(sold[-1])) if len(sold) else (size + 1, 0)
     for room in range(1, size + 1):
-        gains = price[1 : room + 1] + best[room - 1 :: -1]
-        k = int(gains.argmax())
-        best[room], choice[room] = (gains[k], k + 1) if gains[k] > best[room - 1] else (best[room - 1], 0)
-    out, room = [], size
+        best[room] = best[room - 1]
+        if (top := min(high, room)) >= low:
+            gains = price[low : top + 1] + best[room - top : room - low + 1][::-1]
+            k = int(gains.argmax())
+            if gains[k] > best[room]:
+                best[room], choice[room] = gains[k], low + k
+    return best, choice
+
+
+def filling(choice: np.ndarray, first: int, may: np.ndarray) -> dict[int, int]:
+    """The size ``first`` and the best filling of the room beside it, with no size more often than it ``may``.
+
+    Where the best filling takes a size too often, that of one less room is looked at.
+    """
+    items, room = {first: 1}, len(choice) - 1 - first
     while room > 0:
-        if choice[room]:
-            out.append(choice[room])
-            room -= choice[room]
+        size = int(choice[room])
+        if size and items.get(size, 0) < may[size]:
+            items[size] = items.get(size, 0) + 1
+            room -= size
         else:
             room -= 1
-    return np.array(out, np.int64)
+    return items
 
 
 Plan = list[tuple[dict[int, int], int]]
@@ -75,87 +91,64 @@ class Solution:
     placed: int
 
 
-def fractional(need: np.ndarray) -> tuple[dict[tuple, float], np.ndarray]:
-    """The configuration program over sizes 1 .. len(need) - 1, each needed ``need`` times: how much of each configuration
-    is taken, and the last prices.
-
-    Multiplicative weights: the price of a size is its length, which falls by a factor exp(-RATE * share) as the covered
-    share of its need grows; the best configuration at these prices is taken until it covers ``STEP`` of what its scarcest
-    size still needs. The program ends when no size needs half a piece.
-    """
-    left, lengths, found = need.astype(float), np.arange(len(need)), defaultdict(float)
-    price = lengths.astype(float)
-    while (left >= 0.5).any():
-        share = 1 - left / np.maximum(need, 1)
-        price = np.where(left >= 0.5, lengths * np.exp(-RATE * share), -1.0)
-        items, times = np.unique(best_configuration(price), return_counts=True)
-        taken = (left[items] / times).min()
-        taken = taken if taken < 1 else max(1.0, STEP * taken)
-        found[tuple(np.repeat(items, times)[::-1].tolist())] += taken
-        left[items] -= taken * times
-    return found, lengths * np.exp(-RATE * (1 - left / np.maximum(need, 1)))
-
-
 def dual_bound(price: np.ndarray, need: np.ndarray) -> int:
     """No packing has fewer sequences than the value of all pieces by that of the best configuration, at any prices."""
-    best = price[best_configuration(price)].sum()
+    best = knapsack(price)[0][-1]
     return int(np.ceil(price @ need / best - 1e-6)) if best > 0 else 0
 
 
-def solve(histogram: dict[int, int], size: int = LENGTH) -> Solution:
-    """Pack pieces with the lengths of ``histogram`` into sequences of ``size``.
+def program(left: np.ndarray, size: int) -> tuple[Plan, np.ndarray]:
+    """Configurations for most of the pieces, which are taken from ``left`` (how many of each size), and the last prices.
 
-    For the program alone neighbouring lengths count as one size (``GRID`` sizes in all, a length is rounded to the nearest);
-    its configurations are rounded to whole numbers by cumulative sums and filled with real lengths.
+    Multiplicative weights: a size's price is its length, tilted towards long ones, and falls by exp(-RATE * share) as the
+    covered share of its need grows. The knapsack's dynamic program prices all configurations of a round at once: the best
+    one that has a given size is that size and the best filling of the room beside it. Those within ``SLACK`` of the best of all are taken,
+    long sizes first, each as often as its scarcest size allows of what it may give in the round (``STEP`` of what is left, or
+    ``LEAST`` of its need). Amounts are rounded down to whole sequences as they are taken, and what that leaves is priced again, so every
+    configuration holds real pieces. The program ends when ``REST`` of all ids is left.
     """
+    need, lengths, plan = left.copy(), np.arange(size + 1), []
+    tilted = lengths * (1 + TILT * lengths / size)
+    price, trim = tilted.astype(float), TRIM[0]
+    while lengths @ left > REST * (lengths @ need):
+        price = tilted * np.exp(-RATE * (1 - left / np.maximum(need, 1)))
+        sold = np.where(left > 0, price, -1.0)
+        best, choice = knapsack(sold)
+        before = len(plan)
+        may = np.minimum(left, np.ceil(np.maximum(STEP * left, LEAST * need)).astype(np.int64))
+        worth = np.where(left > 0, sold + best[size - lengths], -1.0)
+        for length in np.flatnonzero(worth >= (1 - SLACK) * best[size])[::-1].tolist():
+            while may[length]:
+                items = filling(choice, length, may)
+                if sum(sold[k] * n for k, n in items.items()) < (1 - trim) * worth[length]:
+                    break
+                often = min(int(may[k]) // n for k, n in items.items())
+                plan.append((items, often))
+                for k, n in items.items():
+                    left[k] -= n * often
+                    may[k] -= n * often
+        if len(plan) == before:
+            trim *= 2
+            if trim > TRIM[1]:
+                break
+    return plan, price
+
+
+def solve(histogram: dict[int, int], size: int = LENGTH) -> Solution:
+    """Pack pieces with the lengths of ``histogram`` into sequences of ``size``: the program's configurations, then best fit for
+    the rest of its rounding."""
     need = np.zeros(size + 1, np.int64)
     for length, n in histogram.items():
         need[length] = n
-    left, lengths, unit = need.copy(), np.arange(size + 1), max(1, size // GRID)
-    made: list[tuple[dict[int, int], int]] = [({size: 1}, int(need[size]))] if need[size] else []
+    left, lengths = need.copy(), np.arange(size + 1)
+    made: Plan = [({size: 1}, int(need[size]))] if need[size] else []
     left[size] = 0
-    of = np.clip(np.rint(lengths / unit).astype(int), 1, size // unit)
-    of[np.cumsum(lengths * left) <= FILL * (lengths @ left)] = 0  # kept for the gaps
-    units = np.bincount(of, left, size // unit + 1).astype(np.int64)
-    units[0] = 0
-    found, unit_price = fractional(units)
-    whole = np.diff(np.floor(np.cumsum([0.5, *found.values()]))).astype(int)
-    members = [[int(x) for x in np.flatnonzero(of == u) if u and left[x]] for u in range(len(units))]
     pieces = int(left.sum())
-    for config, often in zip(found, whole.tolist()):
-        made.extend(filled(config, often, members, left, size, unit))
+    found, price = program(left, size)
     placed = pieces - int(left.sum())
-    price = np.interp(lengths / unit, np.arange(len(unit_price)), unit_price)
-    bound = max(dual_bound(price, need), -(-int(lengths @ need) // size))
-    return Solution(best_fit(made, left, size), bound, pieces, placed)
-
-
-def filled(config: tuple, often: int, members: list[list[int]], left: np.ndarray, size: int, unit: int) -> Plan:
-    """``often`` sequences of a configuration with real lengths, which are taken from ``left``.
-
-    Sizes are filled in falling order, in turn with their longest and shortest lengths, and the last with the longest length
-    that fits. A place without a length is left to best fit.
-    """
-    runs: list[list] = [[{}, often, size]] if often else []
-    for k, u in enumerate(config):
-        after = []
-        for items, n, room in runs:
-            if k == len(config) - 1:
-                order = range(room, max(0, min(room, members[u][0] if members[u] else room) - 2 * unit), -1)
-            else:
-                order = members[u] if k % 2 else members[u][::-1]
-            for length in order:
-                if not n:
-                    break
-                used = min(n, int(left[length])) if length <= room else 0
-                if used:
-                    left[length] -= used
-                    after.append([items | {length: items.get(length, 0) + 1}, used, room - length])
-                    n -= used
-            if n:
-                after.append([items, n, room])
-        runs = after
-    return [(items, n) for items, n, _ in runs if items]
+    even = np.concatenate([[0.0], 1 / (size // lengths[1:])])  # sizes of which as many fit are worth the same
+    bound = max(-(-int(lengths @ need) // size), dual_bound(price, need), dual_bound(even, need))
+    return Solution(best_fit(made + found, left, size), bound, pieces, placed)
 
 
 def best_fit(found: Plan, left: np.ndarray, size: int) -> Plan:
