@@ -4,7 +4,9 @@ A tokenizer and a tree builder with implied tags (a block closes an open paragra
 neighbour, an unknown end tag nothing) give a tree; a renderer walks it. Hidden content (head, scripts, styles, templates,
 comments, ``hidden`` attributes, ``display:none``, ``visibility:hidden``, ``aria-hidden``, hidden inputs) is left out.
 Blocks stand on lines of their own, paragraphs, headings, lists and tables between blank lines, list items have a bullet
-or number and an indent, table cells are padded to columns, preformatted text keeps its white space.
+or number and an indent, table cells are padded to columns and reach over rows and columns by their spans, preformatted text keeps
+its white space. Closed details show their summary, lists of choices the chosen one, buttons their text; what is made visible
+again inside hidden content is shown. Style sheets of a page are not looked at.
 
 Defined cases: null html gives an empty text; text without tags is one block; unclosed and crossed tags are closed by
 their parents; a page of any length is rendered whole; tables nested more than ``NESTED_TABLES`` deep are laid out as blocks, and
@@ -26,7 +28,7 @@ from talus.llm.common import map_texts
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
-UNSEEN = frozenset("head script style title template noscript iframe object svg math datalist select noembed noframes".split())
+UNSEEN = frozenset("head script style title template noscript iframe object svg math datalist noembed noframes".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset".split())
 BLOCKS = SPACED | frozenset(
     "html body address article aside center dd details dialog div dt fieldset figcaption footer form header hgroup hr li "
@@ -48,6 +50,7 @@ BACK = {
     "tr": CONTEXT - {"tr", "colgroup"}, "td": CONTEXT - {"colgroup"}, "th": CONTEXT - {"colgroup"},
 }
 INSIDE = frozenset(BACK) | frozenset("form script style template".split())
+BUTTONS = frozenset("submit reset button".split())
 #: An end tag does not reach past these.
 SCOPES = frozenset(("table", "td", "th", "caption"))
 
@@ -60,6 +63,8 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+)))?")
 NESTED_TABLES, MAX_DEPTH = 40, 512
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+UNPAINTED, PAINTED = re.compile(r"visibility\s*:\s*hidden", re.I), re.compile(r"visibility\s*:\s*visible", re.I)
+NOT_LAID_OUT = re.compile(r"display\s*:\s*none|visibility\s*:\s*collapse", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -166,17 +171,60 @@ def close(stack: list[Node], tags: set[str] | frozenset[str], within: set[str] |
 
 
 def visible(node: Node) -> bool:
-    a = node.attrs
-    if node.tag in UNSEEN:
+    return visible_by(node.tag, node.attrs)
+
+
+def visible_by(tag: str, a: dict[str, str]) -> bool:
+    if tag in UNSEEN:
         return False
     if not a:
         return True
     return not (
-        "hidden" in a or a.get("aria-hidden", "").lower() == "true" or (node.tag == "input" and a.get("type", "").lower() == "hidden")
+        "hidden" in a or a.get("aria-hidden", "").lower() == "true" or (tag == "input" and a.get("type", "").lower() == "hidden")
         or ("style" in a and HIDDEN.search(a["style"]))
     )
 
 
+def painted_inside(node: Node) -> list[Node]:
+    """What is shown of a node that is not: the nearest nodes in it that are made visible again, where only visibility hides it."""
+    def hides_by_paint(x: Node) -> bool:
+        style = x.attrs.get("style", "")
+        a = dict(x.attrs, style="")
+        return bool(UNPAINTED.search(style)) and not NOT_LAID_OUT.search(style) and visible_by(x.tag, a)
+
+    found, todo = [], [node] if hides_by_paint(node) else []
+    while todo:
+        for x in reversed(todo.pop().children):
+            if isinstance(x, Node):
+                if PAINTED.search(x.attrs.get("style", "")) and visible(x):
+                    found.append(x)
+                elif visible(x) or hides_by_paint(x):
+                    todo.append(x)
+    return found
+
+
+def chosen(select: Node) -> str:
+    """What a closed list of choices shows: the selected option, or else the first; all of them where several may be."""
+    options, todo = [], [select]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, Node):
+            if node.tag == "option" and visible(node):
+                options.append(node)
+            else:
+                todo.extend(reversed(node.children))
+    if "multiple" not in select.attrs:
+        options = [x for x in options if "selected" in x.attrs][-1:] or options[:1]
+    return " ".join(render(plain_block(x)) for x in options)
+
+
+def plain_block(node: Node) -> Node:
+    """The children of a node as those of a block without rules of its own."""
+    inner = Node("div")
+    inner.children = node.children
+    return inner
+
+
 class Page:
     """Lines being laid out; ``gap`` is how many line ends are due before the next text."""
 
@@ -222,7 +270,12 @@ def render(root: Node, depth: int = 0) -> str:
         elif item.tag == "br":
             page.gap, page.space = page.gap + 1 if page.out else 0, False
         elif not visible(item):
-            continue
+            todo.extend((x, keep, items) for x in reversed(painted_inside(item)))
+        elif item.tag == "select":
+            page.text(chosen(item), False)
+        elif item.tag == "input":
+            if item.attrs.get("type", "").lower() in BUTTONS:
+                page.text(item.attrs.get("value", ""), False)
         elif item.tag == "table" and depth < NESTED_TABLES:
             page.block(2)
             for line in table_lines(item, depth + 1):
@@ -260,7 +313,10 @@ def render(root: Node, depth: int = 0) -> str:
 
             todo.append((end, keep, items))
             keep = keep or tag in ("pre", "textarea", "xmp")
-            todo.extend((x, keep, items) for x in reversed(item.children))
+            children = item.children
+            if tag == "details" and "open" not in item.attrs:
+                children = [x for x in children if isinstance(x, Node) and x.tag == "summary"][:1]
+            todo.extend((x, keep, items) for x in reversed(children))
     return "".join(page.out)
 
 
@@ -269,12 +325,13 @@ def table_lines(table: Node, depth: int) -> list[str]:
     their cell."""
     rows: list[list[list[str]]] = []
     captions: list[str] = []
-    todo = [*reversed(table.children)]
+    todo, down = [*reversed(table.children)], {}  # column: rows below that a cell still reaches into
+
+    def span(cell: Node, name: str) -> int:
+        return min(max(int(n), 1), 1000) if (n := cell.attrs.get(name, "1")).isdigit() else 1
 
     def lines(node: Node) -> list[str]:
-        inner = Node("div")
-        inner.children = node.children
-        found = "\n".join(x.rstrip() for x in render(inner, depth).split("\n")).strip("\n")
+        found = "\n".join(x.rstrip() for x in render(plain_block(node), depth).split("\n")).strip("\n")
         return found.split("\n") if found else []
 
     while todo:
@@ -285,9 +342,15 @@ def table_lines(table: Node, depth: int) -> list[str]:
             cells: list[list[str]] = []
             for c in node.children:
                 if isinstance(c, Node) and visible(c) and c.tag in ("td", "th"):
+                    while down.get(len(cells), 0):  # a cell of a row above reaches here
+                        down[len(cells)] -= 1
+                        cells.append([])
+                    wide, high = (span(c, name) for name in ("colspan", "rowspan"))
+                    down.update({len(cells) + k: high - 1 for k in range(wide)} if high > 1 else {})
                     cells.append(lines(c))
-                    span = c.attrs.get("colspan", "1")
-                    cells.extend([[]] * (min(int(span), 1000) - 1 if span.isdigit() else 0))
+                    cells.extend([[]] * (wide - 1))
+            for k in [k for k in down if k >= len(cells)]:
+                down[k] = max(0, down[k] - 1)
             if cells:
                 rows.append(cells)
         elif node.tag == "caption":
