@@ -19,6 +19,7 @@ texts are used whole; repeated rows score alike; other columns are not read unle
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -51,6 +52,8 @@ COST_JOIN = (0.3, 1.2, 2.0)
 #: The longest fragment of a run.
 FRAGMENT = 4
 MARKS = ".,;:?\"'[]{}«»…"
+#: Marks in front of a word that can stand for its first letter.
+LEADING = "!("
 
 #: Character classes of the language model: 0 boundary, 1-26 letters, 27 other letters, 28 digits, 29 the rest.
 N_CLASSES = 30
@@ -90,12 +93,15 @@ class Decoder:
         tri = c + 5.0 * bi
         self.log = np.log(tri / tri.sum(2, keepdims=True)).tolist()
 
-    def restore(self, word: str) -> str:
-        """The most likely intended spelling of one noisy, lower-case word or run of fragments."""
+    def restore(self, word: str, repeated: bool | None = None) -> str:
+        """The most likely intended spelling of one noisy, lower-case word or run of fragments.
+
+        ``repeated`` says whether a letter like the one before it may stand for nothing (None: if the word repeats itself).
+        """
         log = self.log
         states: dict[tuple[int, int], float] = {(0, 0): 0.0}
         back: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []
-        for options in lattice(word):
+        for options in lattice(word, repeated):
             after: dict[tuple[int, int], float] = {}
             came: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
             for state, cost in states.items():
@@ -138,6 +144,16 @@ class Decoder:
             return bare
         return "".join(c for c in self.restore(word.strip(MARKS)) if c.isalpha())
 
+    def others(self, word: str) -> Iterator[tuple[str, bool]]:
+        """Further spellings that a word may be read as, and whether the channel has to confirm them: with a mark in front that may
+        stand for a letter, and with one of two like letters."""
+        bare = word.strip(MARKS).rstrip("!()")
+        if bare[:1] in LEADING and len(bare) > 1:
+            yield "".join(c for c in self.restore(bare) if c.isalpha()), False
+        bare = bare.lstrip(LEADING)
+        if bare.isalpha() and not repeats(bare) and (two := _DOUBLED.search(bare)):
+            yield bare[: two.start()] + bare[two.end() :], True
+
 
 Option = tuple[str, float, int]
 
@@ -153,12 +169,18 @@ def readings(c: str, repeated: bool) -> list[Option]:
     return [*options, (c, COST_KEEP_SEPARATOR if c in SEPARATORS else COST_SELF_ODD, kind)]
 
 
+@functools.cache
+def _letters(c: str, again: bool) -> tuple[str, ...]:
+    """What a character may be read as, where anything but letters is nothing of a cue; empty where it may stand for nothing."""
+    return tuple(dict.fromkeys(out for out, _, kind in readings(c, again) if out == "" or 1 <= kind <= 27))
+
+
 _KNOWN: dict[tuple[str, bool], list[Option]] = {(chr(c), r): readings(chr(c), r) for c in range(33, 256) for r in (False, True)}
 
 
-def lattice(word: str) -> list[list[Option]]:
+def lattice(word: str, repeated: bool | None = None) -> list[list[Option]]:
     """The readings of each character of a word or run."""
-    again, before, out = repeats(word), "", []
+    again, before, out = repeats(word) if repeated is None else repeated, "", []
     for k, c in enumerate(word):
         if c == " ":
             longer = int(k > 1 and word[k - 2] != " ") + int(k + 2 < len(word) and word[k + 2] != " ")
@@ -208,6 +230,7 @@ class Scorer:
         self.decoder, self.odds, self.weights, self.usable = decoder, odds, weights, usable
         self.memo: dict[str, float] = {}
         self.starts = {c[1:5] for c in odds}
+        self.heads = {x[:k] for x in self.starts if len(x) == 4 for k in range(1, 5)}
 
     def best(self, word: str) -> float:
         if word[:4] not in self.starts:
@@ -218,20 +241,32 @@ class Scorer:
         if len(self.memo) >= MEMO:
             self.memo.clear()
         clean = self.decoder.clean(word)
-        found = self.memo[word] = self.best(clean) if clean else 0.0
+        found = self.best(clean) if clean else 0.0
+        for other, doubtful in self.decoder.others(word):
+            # only what would count more is worth decoding
+            if (more := self.best(other)) > found and not (doubtful and self.decoder.restore(clean, True) != other):
+                found = more
+        self.memo[word] = found
         return found
 
     def readable(self, run: list[str]) -> bool:
-        """Whether a cue's first letters can be read across a space of a run."""
+        """Whether a cue's first letters can be read anywhere in a run, by any readings of its characters: if not, what it is
+        restored to scores nothing, whatever that is."""
         joined = "".join(run)
         if len(joined) < 4:
             return False
-        starts, at = self.starts, 0
-        for w in run[:-1]:
-            at += len(w)
-            for k in range(max(0, at - 3), at):
-                if joined[k : k + 4] in starts:
-                    return True
+        if joined.isalpha() and not _DOUBLED.search(joined):  # every letter stands for itself
+            return any(joined[k : k + 4] in self.starts for k in range(len(joined) - 3))
+        heads = {""}
+        for k, c in enumerate(joined):
+            after = {""}
+            for out in _letters(c, k > 0 and joined[k - 1] == c):
+                for head in heads:
+                    if (new := head + out) in self.heads:
+                        if len(new) == 4:
+                            return True
+                        after.add(new)
+            heads = after
         return False
 
     def evidence(self, text: str | None) -> tuple[float, float]:
