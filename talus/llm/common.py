@@ -70,9 +70,11 @@ def running_sum(df: DataFrame, order: list, value: str, out: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over all rows up to this one in the total order ``order`` (column names).
 
     Range partitions are written with their number; their sums give each its offset, and the rest is a window inside a
-    partition. No task holds more than one range, however large a group of the leading column is.
+    partition. No task holds more than one range, however large a group of the leading column is: rows equal in the whole order are
+    parted by a last number of their own, and which of them comes first is no matter.
     """
     spark = df.sparkSession
+    df, order = df.withColumn("_tie", F.monotonically_increasing_id()), [*order, "_tie"]
     ranged = df.repartitionByRange(partitions(spark), *order).withColumn("_part", F.spark_partition_id())
     ranged = materialize(ranged, "ranged")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -83,7 +85,7 @@ def running_sum(df: DataFrame, order: list, value: str, out: str) -> DataFrame:
     return (
         ranged.join(F.broadcast(offsets), "_part")
         .withColumn(out, F.col("_before") + F.sum(value).over(within))
-        .drop("_part", "_before")
+        .drop("_part", "_before", "_tie")
     )
 
 

@@ -63,7 +63,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, max_passes=MAX_PASSES, se
         "doc_id",
         F.col("source").alias("_source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_u"),
+        # as bytes, which sort as their hexadecimal text does
+        F.unhex(F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))).alias("_u"),
         *(F.col(f"`{c}`").alias(k) for c, k in zip(names, keep)),
     )
     sized = materialize(sized, "sized")
