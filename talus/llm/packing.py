@@ -245,11 +245,12 @@ def tokenized(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFr
     schema = T.StructType([
         docs.schema["doc_id"], T.StructField("piece", T.IntegerType()), *whole, *([T.StructField("ids", T.BinaryType())] * with_ids),
     ])
-    return value_words(docs.select("doc_id", "text"), split, stem, value, finish, schema)
+    # as bytes, which are what words and their values are
+    return value_words(docs.select("doc_id", F.col("text").cast("binary").alias("text")), split, stem, value, finish, schema)
 
 
-def split(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").split()
+def split(text: bytes | None) -> list[bytes]:
+    return (text or b"").split()
 
 
 def id_kind(vocabulary: int) -> str:

@@ -24,8 +24,8 @@ BLOCK_BYTES = 16 << 20
 #: Blocks for each bucket of words.
 SHARE = 2
 
-#: The words of a text in bytes.
-Split = Callable[[str | None], list[bytes]]
+#: The words of a text, both in bytes.
+Split = Callable[[bytes | None], list[bytes]]
 
 
 def pack(items: list[bytes]) -> bytes:
@@ -43,7 +43,7 @@ def unpack(blob: bytes) -> list[bytes]:
 
 
 def value_words(docs: DataFrame, split: Split, stem: Callable, value: Callable, finish: Callable, schema) -> DataFrame:
-    """Apply ``finish`` to each block of ``docs`` (doc_id, text and more) with the values of its words.
+    """Apply ``finish`` to each block of ``docs`` (doc_id, text in bytes, and more) with the values of its words.
 
     ``stem(word)`` gives what of a word is valued and the rest; ``value(stems)`` gives a list of byte strings for a
     bucket's distinct stems. ``finish(table, values)`` gets a block's rows and a dictionary from stem to value.
