@@ -99,17 +99,21 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
 def map_texts(docs: DataFrame, keep: Sequence[str], describe: Callable, fields: dict[str, tuple[T.DataType, pa.DataType]], column: str = "text") -> DataFrame:
     """The ``keep`` columns as they are, and ``fields`` from ``describe(texts)``, which gives a list for each of them.
 
-    Columns pass through as Arrow arrays, so nulls and large numbers stay exact.
+    Columns pass through as Arrow arrays, so nulls and large numbers stay exact. A kept column that bears the name of one of
+    ``fields`` (whatever their case) gets underscores in front.
     """
-    keep = list(dict.fromkeys(keep))
+    keep, named = list(dict.fromkeys(keep)), list(fields)
+    for c in keep:
+        named.append(free_name(named, c))
+    named = named[len(fields) :]
     rows = docs.select(*dict.fromkeys([*keep, column]))
-    schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField(c, kind[0]) for c, kind in fields.items()])
+    schema = T.StructType([T.StructField(n, rows.schema[c].dataType) for n, c in zip(named, keep)] + [T.StructField(c, kind[0]) for c, kind in fields.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = describe(batch.column(column).to_pylist())
             made = [pa.array(x, kind[1]) for x, kind in zip(found, fields.values())]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, keep), *made], [*keep, *fields])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keep), *made], [*named, *fields])
 
     return rows.mapInArrow(run, schema)
 
