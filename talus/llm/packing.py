@@ -17,6 +17,7 @@ import dataclasses
 import os
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -201,25 +202,21 @@ def tokenized(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFr
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode = Tokenizer.from_file(tokenizer)
-        kind = id_kind(encode.get_vocab_size())
+        code = {"<u2": "H", "<u4": "I"}[id_kind(encode.get_vocab_size())]
         out: list[bytes] = []
         for lo in range(0, len(words), 1000):
             some = [w.decode("utf-8") for w in words[lo : lo + 1000]]
-            out.extend(np.array(x.ids, kind).tobytes() for x in encode.encode_batch_fast(some, add_special_tokens=False))
+            out.extend(array(code, x.ids).tobytes() for x in encode.encode_batch_fast(some, add_special_tokens=False))
         return out
 
     marks: dict[bytes, bytes] = {}
 
     class Ids(dict):
-        """The ids of each word as it is written, made from those of its stem and of its closing mark."""
-
-        def __init__(self, values: dict[bytes, bytes]):
-            super().__init__()
-            self.values_of = values
+        """The ids of each word as it is written: those of its stem, which stands for itself, and of its closing mark."""
 
         def __missing__(self, word: bytes) -> bytes:
             body, mark = stem(word)
-            found = self[word] = self.values_of[body] + (marks[mark] if mark else b"")
+            found = self[word] = self[body] + (marks[mark] if mark else b"")
             return found
 
     def finish(rows: pa.Table, values: dict[bytes, bytes]) -> pa.Table:
@@ -266,8 +263,10 @@ LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 def stem(word: bytes) -> tuple[bytes, bytes]:
     """A word of Latin letters in lower case, and a closing mark: the tokenizer takes such words in lower case, and
     letters and marks apart. Any other word stays as it is."""
+    if word.isalpha():  # ASCII letters
+        return word.lower(), b""
     body, mark = (word[:-1], word[-1:]) if word[-1:] in MARKS else (word, b"")
-    if body.isalpha():  # ASCII letters
+    if body.isalpha():
         return body.lower(), mark
     text = body.decode("utf-8")
     return (text.lower().encode("utf-8"), mark) if LATIN.fullmatch(text) else (word, b"")
