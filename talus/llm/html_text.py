@@ -11,7 +11,7 @@ again inside hidden content is shown. Style sheets of a page are not looked at.
 Defined cases: null html gives an empty text; text without tags is one block; unclosed and crossed tags are closed by
 their parents; a page of any length is rendered whole; tables nested more than ``NESTED_TABLES`` deep are laid out as blocks, and
 elements deeper than ``MAX_DEPTH`` hold nothing, as in browsers: what follows stands beside them; other columns are not read unless named in
-``keep``; an empty table gives an empty table.
+``keep``; repeated rows give the same text, and nothing is compared between rows; an empty table gives an empty table.
 """
 
 from __future__ import annotations

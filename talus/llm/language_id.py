@@ -10,7 +10,8 @@ Trigram counts cover all rows to learn from; they are summed as rows (language,
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; rows without a language teach nothing; if
 no row has one, every text is ``und``; a single language is predicted for every text with letters; texts are used whole,
-in slices of bounded memory; other columns are not read; repeated rows count as often as they occur.
+in slices of bounded memory; other columns are not read; repeated rows count as often as they occur; of equally near
+languages the first in the order of their names is predicted; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ at most ``SAMPLE`` labelled documents of either kind, chosen by a hash of the id
 
 Defined cases: null and empty texts have no words and fail the base rules; without labels, or with one kind only, no
 document is rejected by the field; texts are used whole; other columns are not read unless named in ``keep``; repeated
-rows are judged alike.
+rows are judged alike; a content share of exactly the least one is kept; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ regression on a text's strongest word and the sum of its strong words is fitted
 run are scored from each of their letters on, as their beginning is uncertain. Character counts cover all rows.
 
 Defined cases: null and empty texts score as a text without any cue; without labels of both kinds every score is 0;
-texts are used whole; repeated rows score alike; other columns are not read unless named in ``keep``.
+texts are used whole; repeated rows score alike; a score at the threshold counts as toxic, and of readings of one price the first
+that the lattice lists holds; an empty table gives an empty table; other columns are not read unless named in ``keep``.
 """
 
 from __future__ import annotations
