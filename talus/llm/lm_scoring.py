@@ -8,21 +8,22 @@ entries. Every n-gram enters, those seen once as well. The buckets' filters side
 Scoring. The filter grows with the corpus, so no worker can be sent all of it. Documents are dealt to blocks of about
 ``BLOCK_BYTES`` of text; each block sends its distinct n-grams to the buckets, where the bucket's filter is, and they are
 probed level after level until one is missing; levels go back to the block that asked. Nothing passes the driver but sums.
-The lower edge of an n-gram's level stands for its count, the upper edge for the count of a history of two words:
+The middle of an n-gram's level stands for its count, as a continuation and as a history alike, and a continuation counts as often as its
+history at most, so a history with one continuation gives it all that smoothing leaves:
 
     P(w | h) = (count(h, w) + MU * P(w | h without its first word)) / (count(h) + MU)
 
 ending at the base model's P(w) (a text's first token has no history of two words), with exact counts of single words from the same exchange. ``MU`` of each order is the
 value at which the mass given to the shorter history, on average over all training tokens, is the share of n-grams seen
-once (the Good-Turing estimate of the unseen). The probabilities of a history add up to at most one but for false
-positives and histories of three and more words, which share their level's upper edge.
+once (the Good-Turing estimate of the unseen). The probabilities of a history add up to one within half a
+step of the levels (a factor of 1.23) and but for false positives.
 
 Words are compared by 64-bit hashes, n-grams by a bucket and 32 more bits; the filters' false positives
 (about one in a hundred for each level) are the larger error.
 
 Defined cases: a null or empty text is the closing token alone; without training rows all counts are 0 and only the
 smoothing is left; a bucket without n-grams has an empty filter; repeated rows count and score as often as they occur;
-null ids are held in training; other columns are not read; texts are used whole.
+null ids are held in training; other columns are not read; texts are used whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -53,6 +54,8 @@ END = b""  # no word is empty
 #: The least count of each level from 1 on; level 0 is unseen.
 EDGES = np.unique(np.concatenate(([0], np.ceil(1.5 ** np.arange(60))))).astype(np.int64)
 LAST = np.append(EDGES[1:] - 1, EDGES[-1])
+#: What a level stands for, wherever it is met: the geometric middle of its counts, so that a count is off by half a step at most.
+MIDDLE = np.sqrt(EDGES * LAST.astype(float))
 LEVELS = len(EDGES)
 
 _U = np.uint64
@@ -372,8 +375,8 @@ def finish(n: int, histograms: np.ndarray):
             level[block.real] = np.concatenate([numbers(x, "u1") for x in answers.column(c).to_pylist()])[which]
             mu = smoothing(tables[k], histograms[k][0][1])
             history = np.concatenate(([0], before[:-1]))
-            p = (np.minimum(EDGES[level], history) + mu * p) / (history + mu)
-            before = LAST[level] * (level > 0)
+            p = (np.minimum(MIDDLE[level], history) + mu * p) / (history + mu)
+            before = MIDDLE[level]
             levels.append(level)
         found |= {"score": np.log10(p), "n_pairs": levels[0] > 0, "n_triples": levels[-1] > 0, "n_again": levels[-1] > 1}
         starts = np.cumsum([0, *block.sizes[:-1]])

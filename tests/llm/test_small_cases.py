@@ -256,8 +256,8 @@ def lm_by_hand(rows):
             words[t[i]] += 1
             for k in grams:
                 grams[k][tuple(t[i - k + 1 : i + 1])] += 1
-    edge = lambda c: int(lm_scoring.EDGES[np.searchsorted(lm_scoring.EDGES, c, side="right") - 1])
-    last = lambda c: int(lm_scoring.LAST[np.searchsorted(lm_scoring.EDGES, c, side="right") - 1]) if c else 0
+    level = lambda c: np.searchsorted(lm_scoring.EDGES, c, side="right") - 1
+    middle = lambda c: float(np.sqrt(float(lm_scoring.EDGES[level(c)]) * float(lm_scoring.LAST[level(c)])))
     table = lambda c: lm_scoring.histogram(np.array(list(c.values()), np.int64))
     mu = {2: lm_scoring.smoothing(table(words), sum(v == 1 for v in grams[2].values())), 3: lm_scoring.smoothing(table(grams[2]), sum(v == 1 for v in grams[3].values()))}
     n, out = sum(words.values()), {}
@@ -266,8 +266,8 @@ def lm_by_hand(rows):
         for i in range(2, len(t)):
             p = (words[t[i]] + 0.1) / (n + 0.1 * (len(words) + 1))
             base += np.log10(p)
-            for size, history in ((2, words[t[i - 1]]), (3, last(grams[2][tuple(t[i - 2 : i])]) if i > 2 else 0)):
-                p = (min(edge(grams[size][tuple(t[i - size + 1 : i + 1])]), history) + mu[size] * p) / (history + mu[size])
+            for size, history in ((2, words[t[i - 1]]), (3, middle(grams[2][tuple(t[i - 2 : i])]) if i > 2 else 0)):
+                p = (min(middle(grams[size][tuple(t[i - size + 1 : i + 1])]), history) + mu[size] * p) / (history + mu[size])
             score += np.log10(p)
         out[k] = (base, score)
     return out
@@ -294,6 +294,14 @@ def test_lm_scores_by_brute_force(spark, monkeypatch, shuffle, block):
         assert abs(got[k].base_score - base) < 1e-6 * max(1, abs(base)) and abs(got[k].score - score) < 0.01 * max(1, abs(score))
 
 
+@pytest.mark.parametrize("text, share", [("a " * 3000, 1.0), ("a b " * 900, 0.25), ("one two three four five " * 300, 0.25)])
+def test_repeated_texts_score_above_their_words(spark, text, share):
+    """A history with one continuation gives it nearly all, however often it comes: no step of the levels is lost at each token."""
+    docs = spark.createDataFrame([(1, text, False), (2, text, False)], "doc_id long, text string, held_out boolean")
+    for r in lm_scoring.score(docs, lm_scoring.train(docs)).collect():
+        assert r.score > share * r.base_score - 10
+
+
 def test_language_id(docs):
     model = language_id.train(docs)
     got = {r.doc_id: r for r in language_id.predict(docs, model).collect()}
