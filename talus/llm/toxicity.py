@@ -20,7 +20,6 @@ that the lattice lists holds; an empty table gives an empty table; other columns
 
 from __future__ import annotations
 
-import functools
 import math
 import re
 from collections import Counter
@@ -55,6 +54,7 @@ FRAGMENT = 4
 MARKS = ".,;:?\"'[]{}«»…"
 #: Marks in front of a word that can stand for its first letter.
 LEADING = "!("
+NOT_LETTERS = frozenset(LEADING + MARKS)
 
 #: Character classes of the language model: 0 boundary, 1-26 letters, 27 other letters, 28 digits, 29 the rest.
 N_CLASSES = 30
@@ -148,11 +148,14 @@ class Decoder:
     def others(self, word: str) -> Iterator[tuple[str, bool]]:
         """Further spellings that a word may be read as, and whether the channel has to confirm them: with a mark in front that may
         stand for a letter, and with one of two like letters."""
+        marked = word[:1] in NOT_LETTERS and word.lstrip(MARKS)[:1] in LEADING
+        if not marked and not _DOUBLED.search(word):
+            return
         bare = word.strip(MARKS).rstrip("!()")
-        if bare[:1] in LEADING and len(bare) > 1:
+        if marked and len(bare) > 1:
             yield "".join(c for c in self.restore(bare) if c.isalpha()), False
         bare = bare.lstrip(LEADING)
-        if bare.isalpha() and not repeats(bare) and (two := _DOUBLED.search(bare)):
+        if bare.isalpha() and (two := _DOUBLED.search(bare)) and not repeats(bare):
             yield bare[: two.start()] + bare[two.end() :], True
 
 
@@ -170,12 +173,6 @@ def readings(c: str, repeated: bool) -> list[Option]:
     return [*options, (c, COST_KEEP_SEPARATOR if c in SEPARATORS else COST_SELF_ODD, kind)]
 
 
-@functools.cache
-def _letters(c: str, again: bool) -> tuple[str, ...]:
-    """What a character may be read as, where anything but letters is nothing of a cue; empty where it may stand for nothing."""
-    return tuple(dict.fromkeys(out for out, _, kind in readings(c, again) if out == "" or 1 <= kind <= 27))
-
-
 _KNOWN: dict[tuple[str, bool], list[Option]] = {(chr(c), r): readings(chr(c), r) for c in range(33, 256) for r in (False, True)}
 
 
@@ -202,6 +199,26 @@ def repeats(word: str) -> bool:
     return first is not None and _DOUBLED.search(word, first.end()) is not None
 
 
+def readings_of(starts: set[str]) -> re.Pattern:
+    """Whatever may be read as one of these beginnings: each letter as itself or imitated, and between letters what may stand
+    for nothing (separators and the letter again). It takes more than the channel does, never less."""
+    tree: dict[str, dict] = {}
+    for start in starts:
+        node = tree
+        for c in start:
+            node = node.setdefault(c, {})
+
+    def either(node: dict[str, dict]) -> str:
+        out = []
+        for c, rest in sorted(node.items()):
+            same = re.escape(c + "".join(k for k, letters in IMITATES.items() if c in letters))
+            out.append(f"[{same}]" + (f"[{same}{between}]*{either(rest)}" if rest else ""))
+        return f"(?:{'|'.join(out)})" if out else "(?!)"
+
+    between = re.escape("".join(sorted(SEPARATORS - {" "})))
+    return re.compile(either(tree))
+
+
 def short_runs(words: list[str]) -> Iterator[tuple[list[str], int]]:
     """Two or more short fragments in a row, and how many of them are single characters."""
     run: list[str] = []
@@ -231,7 +248,7 @@ class Scorer:
         self.decoder, self.odds, self.weights, self.usable = decoder, odds, weights, usable
         self.memo: dict[str, float] = {}
         self.starts = {c[1:5] for c in odds}
-        self.heads = {x[:k] for x in self.starts if len(x) == 4 for k in range(1, 5)}
+        self.read = readings_of({x for x in self.starts if len(x) == 4})
 
     def best(self, word: str) -> float:
         if word[:4] not in self.starts:
@@ -241,6 +258,9 @@ class Scorer:
     def word(self, word: str) -> float:
         if len(self.memo) >= MEMO:
             self.memo.clear()
+        if not self.read.search(word):  # by no readings of its characters is there a cue in it
+            self.memo[word] = 0.0
+            return 0.0
         clean = self.decoder.clean(word)
         found = self.best(clean) if clean else 0.0
         for other, doubtful in self.decoder.others(word):
@@ -258,17 +278,7 @@ class Scorer:
             return False
         if joined.isalpha() and not _DOUBLED.search(joined):  # every letter stands for itself
             return any(joined[k : k + 4] in self.starts for k in range(len(joined) - 3))
-        heads = {""}
-        for k, c in enumerate(joined):
-            after = {""}
-            for out in _letters(c, k > 0 and joined[k - 1] == c):
-                for head in heads:
-                    if (new := head + out) in self.heads:
-                        if len(new) == 4:
-                            return True
-                        after.add(new)
-            heads = after
-        return False
+        return self.read.search(joined) is not None
 
     def evidence(self, text: str | None) -> tuple[float, float]:
         words = (text or "").lower().split()

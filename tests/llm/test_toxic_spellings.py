@@ -50,3 +50,19 @@ def test_what_the_shortcut_turns_away_scores_nothing(scorer):
                 word = "".join(c for c in word if c.isalpha())
                 assert not any(scorer.best(word[k:]) for k in range(max(0, len(word) - 3)))
     assert turned_away > 2000
+
+
+def test_a_word_without_a_reading_scores_nothing(scorer):
+    rng = random.Random(2)
+    skipped = 0
+    for _ in range(20_000):
+        word = "".join({"i": rng.choice("i1!|"), "o": rng.choice("o0*"), "s": rng.choice("s5$")}.get(c, c) for c in rng.choice(CUES))
+        at = rng.randrange(len(word))
+        word = rng.choice(["", "(", "!", "'"]) + word[:at] + rng.choice(["", word[at], word[at] * 2, ".", "-", "x", "9"]) + word[at:] + rng.choice(["", ".", "!!"])
+        if rng.random() < 0.5:
+            word = "".join(rng.choices("abdeimnoprstu01!.,5é", k=rng.randint(1, 9)))
+        if not scorer.read.search(word):
+            skipped += 1
+            assert not scorer.best(scorer.decoder.clean(word))
+            assert not any(scorer.best(other) for other, _ in scorer.decoder.others(word))
+    assert skipped > 5000
