@@ -77,7 +77,7 @@ def fallback_sort(spark: SparkSession, d: str) -> DataFrame:
 
 
 def folded_sort(spark: SparkSession, d: str) -> DataFrame:
-    """The place of every supplier by balance, missing ones last, ties by folded name and key: ranges, then ranks inside."""
+    """The fifty suppliers of least balance, missing ones last, ties by folded name and key: every task keeps its first fifty."""
     rows = table(spark, d, "supplier").select("s_suppkey", "s_name", _partly("s_acctbal", "s_suppkey").alias("balance"))
     return rows.orderBy(F.col("balance").asc_nulls_last(), F.lower("s_name"), "s_suppkey").limit(50)
 
@@ -87,7 +87,10 @@ def first_three(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_with_total(spark: SparkSession, d: str, page: int = 10**6, size: int = 12) -> DataFrame:
-    """A page of nations' suppliers with the number of rows; a page past the end is the last one."""
+    """A page of suppliers with the number of rows; a page past the end is the last one.
+
+    An offset is a constant of the plan, so the rows are counted while it is made.
+    """
     rows = table(spark, d, "supplier").select("s_suppkey", "s_name")
     total = rows.count()
     at = min(page, max(0, (total - 1) // size))
