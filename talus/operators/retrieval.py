@@ -115,7 +115,7 @@ def search(index: Index, queries: DataFrame, k: int, query_id: str = "query", te
     words = index.words.join(found.select("doc").distinct(), "doc", "left_semi")
     more = lookups.join(words, ["doc", "token"]).select("query", "doc", weight(F.col("part")).alias("score"), F.lit(1).cast("long").alias("overlap"))
     total = found.unionByName(more).groupBy("query", "doc").agg(F.sum("score").alias("score"), F.sum("overlap").alias("overlap"))
-    return best(total.where(F.col("overlap") >= least_overlap)).select("query", "doc", "rank", "score", "overlap")
+    return best(total.where(F.col("overlap") >= least_overlap)).select("query", "doc", F.col("rank").cast("long").alias("rank"), "score", "overlap")
 
 
 def lexical_topk(spark: SparkSession, d: str) -> DataFrame:

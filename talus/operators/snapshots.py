@@ -58,7 +58,7 @@ def lifecycle(life: DataFrame) -> DataFrame:
 def _quarters(spark: SparkSession, d: str) -> DataFrame:
     """A customer's state in a quarter: the status of its last order."""
     day = F.col("o_orderdate")
-    orders = table(spark, d, "orders").select("o_custkey", (F.year(day) * 4 + F.quarter(day)).alias("stage"), "o_orderdate", "o_orderkey", "o_orderstatus")
+    orders = table(spark, d, "orders").select("o_custkey", (F.year(day) * 4 + F.quarter(day)).cast("long").alias("stage"), "o_orderdate", "o_orderkey", "o_orderstatus")
     last = F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("status")
     return lives(orders.groupBy("o_custkey", "stage").agg(last), "o_custkey", "stage", "status")
 
