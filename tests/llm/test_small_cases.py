@@ -422,5 +422,5 @@ def test_images(spark):
 def test_contract_columns_are_documented():
     from talus.llm import queries
 
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 14))
     assert json.dumps(sorted(queries.SQL))
