@@ -36,7 +36,7 @@ LENGTH, CLOSING_ID = 2048, 0
 #: may take of what is left and of the need, and the share of all ids that is left to best fit.
 RATE, TILT, SLACK, STEP, LEAST, REST = 2.0, 0.3, 0.2, 0.5, 0.1, 0.01
 #: What a configuration may lose where a size in it has run out: at first, and at last, when nothing else is left.
-TRIM = (0.001, 0.016)
+TRIM = (0.002, 0.03)
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
