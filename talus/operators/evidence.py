@@ -106,7 +106,7 @@ def items_covered(spark: SparkSession, d: str) -> DataFrame:
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
     index = build(docs)
     best = search(index, items, 3, query_id="item_id").select(F.col("query").alias("item"), "doc")
-    sources = best.join(index.words, "doc").select("item", F.col("doc").alias("source"), "token")
+    sources = best.join(index.rows, "doc").select("item", F.col("doc").alias("source"), F.explode(F.array_distinct("words")).alias("token"))
     return covered(items.select(F.col("item_id").alias("item"), F.explode(tokens(F.col("text"))).alias("token")), sources)
 
 

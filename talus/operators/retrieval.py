@@ -1,9 +1,9 @@
 """Lexical retrieval: an inverted index as a table, and the exact best k documents for each of many queries.
 
 The weight of a token in a document is that of BM25 (Robertson and Zaragoza, 2009), in whole millionths, so that sums do not
-depend on their order. Nothing pairs queries with documents: postings of rare tokens find candidates, and a token whose
-documents cannot reach the best k by it and all more frequent ones together (an upper bound for each token is kept) is
-looked up for candidates only.
+depend on their order. Queries meet documents through tokens they share. The entries of asked tokens are dealt by document, so a
+document's scores are summed where its entries lie (as long as Spark broadcasts the queries' tokens), and only the best of each task are
+exchanged. A bound from the rarest tokens of a query keeps documents that cannot be among its best k from being sorted.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from talus.sources import table
 K1, B, SCALE = 1.2, 0.75, 1_000_000
 #: Postings in a block: a frequent token has many blocks, by hash of the document.
 BLOCK = 1024
-#: Postings of the rarest tokens of a query, for each of its k results, that give the first bound.
+#: Postings of the rarest tokens of a query, for each of its k results, that give the bound.
 SEED = 50
 #: Words that are not looked for.
 STOP = ("and", "for", "that", "the", "this", "was", "with")
@@ -42,28 +42,40 @@ def tokens(text: Column, stop: tuple[str, ...] = STOP, least: int = 3) -> Column
 
 @dataclass(frozen=True)
 class Index:
-    """blocks: token, block, n, most, postings (doc, part); words: doc, token, part. Both are written tables.
+    """rows: doc, words (in their order, a written table); number of documents and their mean length."""
 
-    ``part`` is BM25's factor of a token's frequency in its document; that of its rarity comes with the query.
-    """
-
-    blocks: DataFrame
-    words: DataFrame
+    rows: DataFrame
     documents: int
+    mean: float
+
+    def of(self, asked: DataFrame | None = None) -> DataFrame:
+        """doc, token, part of all tokens, or of those of ``asked`` (token). ``part`` is BM25's factor of a token's frequency in its
+        document; that of its rarity comes with the query."""
+        found = self.rows.select("doc", F.size("words").alias("length"), F.explode("words").alias("token"))
+        if asked is not None:
+            found = found.join(asked.select("token").distinct(), "token", "left_semi")
+        counted = found.groupBy("doc", "length", "token").agg(F.count("*").alias("tf"))
+        norm = K1 * (1 - B + B * F.col("length") / F.lit(self.mean))
+        return counted.select("doc", "token", (F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("part"))
+
+    @property
+    def words(self) -> DataFrame:
+        return self.of()
+
+    @property
+    def blocks(self) -> DataFrame:
+        """The index by token: token, block, n, most, postings (doc, part); a frequent token has many blocks."""
+        often = self.words.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > BLOCK)
+        dealt = self.words.join(often.select("token", F.ceil(F.col("df") / BLOCK).alias("blocks")), "token", "left")
+        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc"), F.coalesce("blocks", F.lit(1))))
+        return dealt.groupBy("token", "block").agg(F.count("*").alias("n"), F.max("part").alias("most"), F.collect_list(F.struct("doc", "part")).alias("postings"))
 
 
 def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
     """The index of ``docs``; ids are not null and unique, and a null text has no tokens."""
-    rows = docs.select(F.col(doc_id).alias("doc"), tokens(F.col(text)).alias("words"))
+    rows = written(docs.select(F.col(doc_id).alias("doc"), tokens(F.col(text)).alias("words")), "tokens")
     n, mean = rows.agg(F.count("*"), F.avg(F.size("words"))).first()
-    counted = rows.select("doc", F.size("words").alias("length"), F.explode("words").alias("token")).groupBy("doc", "length", "token").agg(F.count("*").alias("tf"))
-    norm = K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0))
-    words = written(counted.select("doc", "token", (F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("part")), "words")
-    often = words.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > BLOCK)
-    often = written(often.select("token", F.ceil(F.col("df") / BLOCK).alias("blocks")), "frequent-tokens")
-    dealt = words.join(often, "token", "left").withColumn("block", F.pmod(F.xxhash64("doc"), F.coalesce("blocks", F.lit(1))))
-    blocks = dealt.groupBy("token", "block").agg(F.count("*").alias("n"), F.max("part").alias("most"), F.collect_list(F.struct("doc", "part")).alias("postings"))
-    return Index(written(blocks.repartitionByRange("token", "block").sortWithinPartitions("token", "block"), "postings"), words, n)
+    return Index(rows, n, mean or 1.0)
 
 
 def weight(part: Column) -> Column:
@@ -80,42 +92,31 @@ def search(index: Index, queries: DataFrame, k: int, query_id: str = "query", te
     if aliases is not None:
         wider = asked.join(aliases, "token").select("query", F.col("alias").alias("token"), F.col("share").cast("double").alias("factor"))
         asked = asked.unionByName(wider).groupBy("query", "token").agg(F.max("factor").alias("factor"))
-    stats = index.blocks.groupBy("token").agg(F.sum("n").alias("df"), F.max("most").alias("most"))
+    asked = written(asked, "asked")
+    words = written(index.of(asked), "asked-words")
     n = F.lit(index.documents)
+    stats = words.groupBy("token").agg(F.count("*").alias("df"))
     asked = asked.join(stats, "token").withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    rare_first = Window.partitionBy("query").orderBy("df", "token")  # one query's tokens
-    rest = rare_first.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    earlier = rare_first.rowsBetween(Window.unboundedPreceding, -1)
-    asked = asked.withColumn("bound", F.sum(weight(F.col("most"))).over(rest)).withColumn("seen", F.coalesce(F.sum("df").over(earlier), F.lit(0)))
-    asked = written(asked.select("query", "token", "factor", "idf", "bound", "seen"), "query-tokens")
+    rare_first = Window.partitionBy("query").orderBy("df", "token").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one query's tokens
+    asked = asked.withColumn("rare", (F.sum("df").over(rare_first) <= SEED * k) | (F.count("*").over(rare_first) == 1))
+    asked = written(asked.select("query", "token", "factor", "idf", "rare"), "query-tokens")
 
     def scored(terms: DataFrame) -> DataFrame:
-        """Sums over the postings of these tokens, a block a row, so that a frequent token is many tasks'."""
-        heads = index.blocks.select("token", "block")
-        found = terms.join(heads, "token").join(index.blocks.select("token", "block", "postings"), ["token", "block"])
-        found = found.select("query", "factor", "idf", F.explode("postings").alias("p"))
-        found = found.select("query", F.col("p.doc").alias("doc"), weight(F.col("p.part")).alias("score"))
-        return found.groupBy("query", "doc").agg(F.sum("score").alias("score"), F.count("*").alias("overlap"))
+        """Sums over these tokens, by document, so that a frequent token is many tasks' and sums are made before rows are exchanged."""
+        some = words.join(terms.select("token").distinct(), "token", "left_semi").repartition("doc")
+        found = some.join(terms, "token").select("query", "doc", weight(F.col("part")).alias("score"))
+        return found.groupBy("query", "doc").agg(F.sum("score").alias("score"), F.count("*").alias("overlap")).where(F.col("overlap") >= least_overlap)
 
     def best(found: DataFrame) -> DataFrame:
         """Spark keeps the first k of each query in every task before it exchanges rows."""
         order = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    first = best(scored(asked.where(F.col("seen") < SEED * k)).where(F.col("overlap") >= least_overlap))
-    floor = first.where(F.col("rank") == k).select("query", F.col("score").alias("floor"))
-    asked = written(asked.join(floor, "query", "left").withColumn("floor", F.coalesce("floor", F.lit(0))), "bounded-tokens")
-    # a document whose rarest token of the query is behind these scores less than ``floor``
-    finds = F.col("bound") >= F.col("floor")
-    behind = asked.where(~finds).groupBy("query").agg(F.max("bound").alias("behind"))
-    found = scored(asked.where(finds)).join(behind, "query", "left").join(asked.groupBy("query").agg(F.max("floor").alias("floor")), "query")
-    found = found.where(F.col("score") + F.coalesce("behind", F.lit(0)) >= F.col("floor"))
-    found = written(found.select("query", "doc", "score", "overlap"), "candidates")
-    lookups = found.select("query", "doc").join(asked.where(~finds).select("query", "token", "factor", "idf"), "query")
-    words = index.words.join(found.select("doc").distinct(), "doc", "left_semi")
-    more = lookups.join(words, ["doc", "token"]).select("query", "doc", weight(F.col("part")).alias("score"), F.lit(1).cast("long").alias("overlap"))
-    total = found.unionByName(more).groupBy("query", "doc").agg(F.sum("score").alias("score"), F.sum("overlap").alias("overlap"))
-    return best(total.where(F.col("overlap") >= least_overlap)).select("query", "doc", F.col("rank").cast("long").alias("rank"), "score", "overlap")
+    first = best(scored(asked.where("rare")))
+    # the best k have at least the k-th score by the rarest tokens alone
+    floor = written(first.where(F.col("rank") == k).select("query", F.col("score").alias("floor")), "floors")
+    total = scored(asked).join(floor, "query", "left").where(F.col("score") >= F.coalesce("floor", F.lit(0)))
+    return best(total).select("query", "doc", F.col("rank").cast("long").alias("rank"), "score", "overlap")
 
 
 def lexical_topk(spark: SparkSession, d: str) -> DataFrame:

@@ -94,3 +94,15 @@ def test_no_product_of_queries_and_documents(spark):
     plan = found._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     assert "WindowGroupLimit" in plan  # the first k are kept before the exchange
+
+
+def test_scores_are_summed_where_a_document_lies(spark, monkeypatch):
+    """No entry that a query and a document share is exchanged: only asked tokens by document, and each task's best."""
+    docs = drawn(300)
+    index = retrieval.build(spark.createDataFrame(docs, "doc_id long, text string"))
+    queries = [(q, f"common word{q}x word1x word2x") for q in range(12)]
+    found = retrieval.search(index, spark.createDataFrame(queries, "query long, text string"), 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc#" in plan
+    assert not re.search(r"hashpartitioning\(query#\d+L?, doc#", plan)
+    assert sorted(tuple(r) for r in found.select("query", "doc", "rank", "score", "overlap").collect()) == plain(docs, queries, 3)
