@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talus.operators.retrieval import build, search, tokens
+from talus.scratch import written
 from talus.sources import table
 
 
@@ -105,7 +106,7 @@ def items_covered(spark: SparkSession, d: str) -> DataFrame:
     """The tokens of benchmark items that their three best documents cover together."""
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
     index = build(docs)
-    best = search(index, items, 3, query_id="item_id").select(F.col("query").alias("item"), "doc")
+    best = written(search(index, items, 3, query_id="item_id").select(F.col("query").alias("item"), "doc"), "best")  # its size decides how it is joined
     sources = best.join(index.rows, "doc").select("item", F.col("doc").alias("source"), F.explode(F.array_distinct("words")).alias("token"))
     return covered(items.select(F.col("item_id").alias("item"), F.explode(tokens(F.col("text"))).alias("token")), sources)
 

@@ -106,3 +106,10 @@ def test_scores_are_summed_where_a_document_lies(spark, monkeypatch):
     assert "hashpartitioning(doc#" in plan
     assert not re.search(r"hashpartitioning\(query#\d+L?, doc#", plan)
     assert sorted(tuple(r) for r in found.select("query", "doc", "rank", "score", "overlap").collect()) == plain(docs, queries, 3)
+
+
+def test_coverage_exchanges_no_shared_entries(spark):
+    from talus.operators import evidence
+
+    plan = evidence.items_covered(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(query#\d+L?, doc#", plan)
