@@ -78,6 +78,53 @@ def test_all_near_corners_meet(spark, monkeypatch):
     assert len(found) == len(set(found)) and {tuple(r) for r in found} == wanted
 
 
+def test_pairs_of_images_are_whole_in_small_parts(monkeypatch):
+    """However few matches are held at a time, all are found, and those of a pair of images together."""
+    rng = np.random.default_rng(9)
+    bits = rng.integers(0, 2, (400, 128), dtype=np.uint8)
+    bits[100:] = bits[rng.integers(0, 20, 300)]
+    bits[np.arange(400), rng.integers(0, 128, 400)] ^= 1
+    sides = []
+    for rows in (bits[:150], bits):
+        low, high = np.packbits(rows, axis=1).view("<i8").T
+        cut = lambda x: np.split(x, [0, 10, 80, 81])
+        sides.append(image_copies.Corners(pd.DataFrame({"image": range(5), "low": cut(low), "high": cut(high), "place": cut(low)})))
+    wanted = set(zip(*np.nonzero((bits[:150, None] != bits[None]).sum(2) <= image_copies.NEAR)))
+    for held in (10**6, 500, 1):
+        monkeypatch.setattr(image_copies, "MATCHES", held)
+        monkeypatch.setattr(image_copies, "TOGETHER", max(7, held))
+        found, pairs = [], []
+        for a, b in image_copies.met(*sides):
+            found += zip(a.tolist(), b.tolist())
+            pairs += set(zip(sides[0].row[a].tolist(), sides[1].row[b].tolist()))
+        assert len(found) == len(set(found)) and set(found) == wanted and len(pairs) == len(set(pairs))
+
+
+def test_probes_and_matches_of_pictures_are_not_exchanged(spark, monkeypatch):
+    """What is shuffled is some KB a picture, and blocks of pictures find the same."""
+    rng = np.random.default_rng(6)
+    pictures = [image_copies.draw(rng.normal(size=64)) for _ in range(30)]
+    edited = [image_copies.edit(p, k) for k, p in enumerate(pictures)]
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = shuffled()
+    whole = found_copies(spark, pictures, edited)
+    assert 0 < shuffled() - before < 60 * 10_000
+    monkeypatch.setattr(image_copies, "BLOCK", 2000, raising=False)
+    monkeypatch.setattr(image_copies, "ASKED", 1500, raising=False)
+    assert whole == found_copies(spark, pictures, edited) == (set(range(30)), 0)
+
+
+def test_picture_ids_stay_exact_beside_null(spark, tmp_path):
+    vectors = np.random.default_rng(4).normal(size=(2, 64)).tolist()
+    big = 2**53 + 20 - (2**53 % 20) + 1
+    rows = [(big - 1, vectors[0]), (big, vectors[1]), (None, vectors[1])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = image_copies.op3_image_copies(spark, str(tmp_path)).collect()
+    assert {(r.query_id, r.match_id) for r in got} <= {(big - 1, big - 1)}
+    images, members = image_copies.distinct_images(image_copies.drawn(spark.createDataFrame(rows, "id long, vector array<float>"), image_copies.draw, "vector"), "vector")
+    assert {r.id for r in members.collect()} == {big - 1, big, None} and images.count() == 2
+
+
 def plain_agreement(query, image):
     """The most agreeing places of one pair: every bin of every one of the sixteen shifted grids is counted."""
     best = 0
