@@ -1,6 +1,7 @@
 """Cases that an operator once left out of its job."""
 
 import itertools
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -114,6 +115,28 @@ def test_probes_and_matches_of_pictures_are_not_exchanged(spark, monkeypatch):
     assert whole == found_copies(spark, pictures, edited) == (set(range(30)), 0)
 
 
+@pytest.mark.parametrize("repeats", [1, 4])
+def test_disk_of_picture_search_follows_its_input(spark, monkeypatch, tmp_path, repeats):
+    """In however many rounds queries are asked, corners are neither written nor exchanged, and vectors once each, repeated or not."""
+    vectors = np.random.default_rng(15).normal(size=(400 // repeats, 64)).astype(np.float32).tolist()
+    table = spark.createDataFrame([(k, vectors[k % len(vectors)]) for k in range(400)], "vec_id long, embedding array<float>")
+    table.write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    monkeypatch.setattr(image_copies, "DEALT", 0, raising=False)
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    disk = lambda: sum(p.stat().st_size for p in shared.rglob("*.parquet")) + spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    try:
+        found = []
+        for asked in (10**6, 600):
+            monkeypatch.setattr(image_copies, "ASKED", asked)
+            before = disk()
+            found.append(sorted(map(tuple, image_copies.op3_image_copies(spark, str(tmp_path)).collect())))
+            assert disk() - before < 1.5 * 400 * 64 * 4 + 64_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found[0] == found[1] and {r[2] for r in found[0]} == {repeats} and len(found[0]) > 10
+
+
 def test_picture_ids_stay_exact_beside_null(spark, tmp_path):
     vectors = np.random.default_rng(4).normal(size=(2, 64)).tolist()
     big = 2**53 + 20 - (2**53 % 20) + 1
